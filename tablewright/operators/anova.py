@@ -26,10 +26,6 @@ from .shape import col
 # Dense normal equations on the driver; beyond this many design columns the model is refused.
 MAX_DESIGN_COLUMNS = 3000
 
-ANOVA_SCHEMA = (
-    "term string, df double, sum_sq double, f double, p_value double, eta_squared double, partial_eta_squared double"
-)
-
 
 def valid_rows(df: DataFrame, target: str, factors: Sequence[str]) -> DataFrame:
     """Rows with a value in target and factors, after the role checks of every variance analysis."""
@@ -378,8 +374,8 @@ def factorial_anova(
     for term, freedom, squares in rows:
         f = squares / freedom / residual_ms if freedom and residual_ms else None
         p = float(f_upper([f], [freedom], [residual_df])[0]) if f is not None else None
-        table.append((term, freedom, squares, f, p))
-    table.append(("Residual", residual_df, residual, None, None))
+        table.append((term, float(freedom), float(squares), None if f is None else float(f), p))
+    table.append(("Residual", float(residual_df), float(residual), None, None))
     anova = effect_sizes(
         spark.createDataFrame(table, "term string, df double, sum_sq double, f double, p_value double")
     )
@@ -387,7 +383,15 @@ def factorial_anova(
     r2 = full / total
     f_model = full / model_df / residual_ms
     fit = spark.createDataFrame(
-        [(int(n.sum()), r2, 1 - (1 - r2) * (n.sum() - 1) / residual_df, f_model, float(f_upper([f_model], [model_df], [residual_df])[0]))],
+        [
+            (
+                int(n.sum()),
+                float(r2),
+                float(1 - (1 - r2) * (n.sum() - 1) / residual_df),
+                float(f_model),
+                float(f_upper([f_model], [model_df], [residual_df])[0]),
+            )
+        ],
         "samples long, r2 double, adj_r2 double, f_statistic double, model_p_value double",
     )
     return anova, fit

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import charting, evaluating, profiling, tabular
+from . import charting, evaluating, preparing, profiling, tabular, testing
 
-FAMILIES = (profiling, tabular, charting, evaluating)
+FAMILIES = (profiling, tabular, charting, evaluating, preparing, testing)
 
 
 def all_queries() -> dict:
