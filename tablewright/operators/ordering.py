@@ -78,15 +78,14 @@ def sliding_windows(
     else:
         hot_groups = hot.select(col(group))
         cold = df.join(hot_groups, group, "left_anti")
-        spread = add_series_index(df.join(hot_groups, group, "left_semi"), group, order_by, "at")
-        home = F.floor(F.col("at") / hot_rows)
-        into_next = (F.col("at") + reach) >= (home + 1) * hot_rows
-        last = F.when(into_next, F.floor((F.col("at") + reach) / hot_rows)).otherwise(home)
+        spread = add_series_index(df.join(hot_groups, group, "left_semi"), group, order_by, "__place")
+        home = F.floor(F.col("__place") / hot_rows)
+        last = F.floor((F.col("__place") + reach) / hot_rows)
         spread = (
             spread.withColumn("home", home)
             .withColumn("piece", F.explode(F.sequence(home, last)))
             .withColumn("own", F.col("piece") == F.col("home"))
-            .drop("at", "home")
+            .drop("__place", "home")
         )
         cold = cold.withColumn("piece", F.lit(0).cast("long")).withColumn("own", F.lit(True))
         pieces = cold.unionByName(spread)

@@ -152,7 +152,7 @@ def fit_preparation(df: DataFrame, columns: Sequence[str]) -> Preparation:
         hot = [f"__hot{i}" for i in range(len(categories))]
         stages += [
             StringIndexer(inputCols=raw, outputCols=index, handleInvalid="keep", stringOrderType="alphabetAsc"),
-            OneHotEncoder(inputCols=index, outputCols=hot, dropLast=True, handleInvalid="keep"),
+            OneHotEncoder(inputCols=index, outputCols=hot, dropLast=True),
         ]
         inputs += hot
     stages.append(VectorAssembler(inputCols=inputs, outputCol=FEATURES))

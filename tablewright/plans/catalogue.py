@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import charting, evaluating, preparing, profiling, tabular, testing
+from . import charting, clustering, evaluating, learning, preparing, profiling, sequencing, tabular, testing
 
-FAMILIES = (profiling, tabular, charting, evaluating, preparing, testing)
+FAMILIES = (profiling, tabular, charting, evaluating, preparing, testing, learning, sequencing, clustering)
 
 
 def all_queries() -> dict:
