@@ -33,15 +33,20 @@ def exact_quantiles(
     largest = df.groupBy(*[col(b) for b in by]).count().agg(F.max("count")).first()[0] or 0
     if largest <= builtin_rows:
         return _builtin(df, columns, probs, by)
-    return _by_narrowing(df, columns, probs, by, builtin_rows)
+    # the group columns get neutral names meanwhile, so that they cannot meet an internal name
+    inner = [f"__by{i}" for i in range(len(by))]
+    renamed = df.select(*[col(b).alias(n) for b, n in zip(by, inner)], *[col(c).alias(f"__v{i}") for i, c in enumerate(columns)])
+    found = _by_narrowing(renamed, [f"__v{i}" for i in range(len(columns))], probs, inner, builtin_rows)
+    names = F.create_map(*[v for i, c in enumerate(columns) for v in (F.lit(f"__v{i}"), F.lit(c))])
+    return found.select(*[F.col(n).alias(b) for b, n in zip(by, inner)], names[F.col("column")].alias("column"), "prob", "value")
 
 
 def _builtin(df: DataFrame, columns: list[str], probs: list[float], by: list[str]) -> DataFrame:
     grid = F.array(*[F.lit(p) for p in probs])
-    aggs = [F.percentile(col(c).cast("double"), grid).alias(f"q{i}") for i, c in enumerate(columns)]
+    aggs = [F.percentile(col(c).cast("double"), grid).alias(f"__q{i}") for i, c in enumerate(columns)]
     wide = df.groupBy(*[col(b) for b in by]).agg(*aggs)
     cells = [
-        F.struct(F.lit(c).alias("column"), F.lit(p).alias("prob"), F.col(f"q{i}")[k].alias("value"))
+        F.struct(F.lit(c).alias("column"), F.lit(p).alias("prob"), F.col(f"__q{i}")[k].alias("value"))
         for i, c in enumerate(columns)
         for k, p in enumerate(probs)
     ]
