@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..constants import PREVIEW_ROWS, SAMPLE_ROWS
 from ..errors import TableError
+from .ordering import keyed_digest, smallest_digest_cut
 from .shape import col, finite, numeric_columns, per_column
 
 INTEGER_TEXT = r"\A\s*[+-]?\d+\s*\z"
@@ -128,9 +129,16 @@ def correlation_profile(df: DataFrame, columns: list[str] | None = None) -> Data
 
 
 def hash_sample(df: DataFrame, key: list[str], seed: int, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """Seeded sample of a fixed size: the rows with the smallest keyed hashes (distributed top-k)."""
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[col(c).cast("string") for c in key]))
-    return df.orderBy(digest, *[col(c) for c in key]).limit(rows)
+    """Seeded sample of a fixed size: the rows with the smallest keyed hashes.
+
+    The hash of the last sampled row is located first (counts per hash prefix), so that the final
+    ordering only ever sees about ``rows`` rows instead of that many from every partition.
+    """
+    hashed = df.withColumn("__digest", keyed_digest(seed, key)).withColumn("__all", F.lit(1))
+    quota = df.sparkSession.range(1).select(F.lit(1).alias("__all"), F.lit(rows).cast("long").alias("quota"))
+    cut = smallest_digest_cut(hashed, "__digest", quota, ["__all"]).first()
+    kept = hashed.filter(F.col("__digest") <= F.lit(cut["cut"])) if cut else hashed
+    return kept.orderBy("__digest", *[col(c) for c in key]).limit(rows).drop("__digest", "__all")
 
 
 # ---- documented data-quality checks -------------------------------------------------------------

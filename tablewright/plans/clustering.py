@@ -56,8 +56,9 @@ def dbscan(spark, sf):
 
 
 def kmeans(spark, sf):
-    """Sizes and centres of two clusters of the account balances."""
-    points = _balances(spark, sf)
+    """Sizes and centres of two clusters: balances, shifted apart by the half of the nation list."""
+    frame = table(spark, sf, "customer").select("c_custkey", (F.col("c_acctbal") + F.when(F.col("c_nationkey") > 12, 20000.0).otherwise(0.0)).alias("b"))
+    points = neighbors.as_points(fit_preparation(frame, ["b"]).transform(frame), "c_custkey", "features")
     labels = clustering.predicted(clustering.fit_kmeans(points, 2, 42), points)
     return labels.join(points, "id").groupBy("cluster").agg(F.count("*").alias("rows"), F.round(F.avg(F.col("x")[0]), 4).alias("centre")).drop("cluster")
 
@@ -174,7 +175,8 @@ ORACLES = {
         k AS (SELECT f.id, cluster FROM f JOIN g USING (l)),
         b AS (SELECT i AS id, min(cluster) AS cluster FROM near JOIN k ON k.id = j WHERE i NOT IN (FROM c) GROUP BY 1)
         SELECT p.id, coalesce(k.cluster, b.cluster, -1) AS cluster FROM p LEFT JOIN k ON p.id = k.id LEFT JOIN b ON p.id = b.id""",
-    "kmeans": f"""WITH RECURSIVE {_BAL}, it AS (SELECT 0 AS i, min(s) AS a, max(s) AS b FROM p
+    "kmeans": """WITH RECURSIVE r AS (SELECT c_custkey AS id, c_acctbal + CASE WHEN c_nationkey > 12 THEN 20000.0::DOUBLE ELSE 0 END AS b FROM customer),
+        p AS MATERIALIZED (SELECT id, (b - avg(b) OVER ()) / stddev_pop(b) OVER () AS s FROM r), it AS (SELECT 0 AS i, min(s) AS a, max(s) AS b FROM p
         UNION ALL SELECT i + 1, avg(s) FILTER (abs(s - a) <= abs(s - b)), avg(s) FILTER (abs(s - a) > abs(s - b)) FROM it, p WHERE i < 100 GROUP BY i)
         SELECT count(*) AS rows, round(avg(s), 4) AS centre FROM p, it WHERE i = 100 GROUP BY abs(s - a) <= abs(s - b)""",
     "fuzzy_cmeans": f"""WITH RECURSIVE {_BAL}, st AS (SELECT s, row_number() OVER (ORDER BY md5('42:' || i), i) AS o FROM (SELECT s, min(id) AS i FROM p GROUP BY 1)),
