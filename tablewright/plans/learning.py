@@ -286,6 +286,14 @@ ORACLES = {
         UNION ALL SELECT 'train_samples', count(*)::DOUBLE FROM t UNION ALL SELECT 'test_samples', count(*)::DOUBLE FROM f""",
     "saved_model_predictions": _OLS + "SELECT event_id, round(my + b1 * p + b2 * q, 4) AS predicted FROM s, b",
     "pca": f"WITH {_PARTS}, {_AXIS} SELECT p_partkey, round(f * ((s - ms) * cos(th) + (r - mr) * sin(th)), 5) AS component1, round(abs((s - ms) * sin(th) - (r - mr) * cos(th)), 5) AS size2 FROM p, x",
+    # smallest eigenvalue of the 3 x 3 covariance in closed form
+    "pca_explained": """WITH t AS (SELECT l_quantity AS x, l_extendedprice / 1000 AS y, l_discount AS z FROM lineitem),
+        c AS (SELECT count(*)::DOUBLE AS n, var_samp(x) AS a, var_samp(y) AS b, var_samp(z) AS c, covar_samp(x, y) AS d, covar_samp(x, z) AS e, covar_samp(y, z) AS f FROM t),
+        q AS (SELECT *, (a + b + c) / 3 AS q FROM c),
+        p AS (SELECT *, sqrt(((a - q) ** 2 + (b - q) ** 2 + (c - q) ** 2 + 2 * (d * d + e * e + f * f)) / 6) AS p FROM q),
+        r AS (SELECT *, ((a - q) * ((b - q) * (c - q) - f * f) - d * (d * (c - q) - f * e) + e * (d * f - (b - q) * e)) / (2 * p ** 3) AS r FROM p),
+        l AS (SELECT n, 1 - (q + 2 * p * cos(acos(greatest(-1, least(1, r))) / 3 + 2 * pi() / 3)) / (3 * q) AS v FROM r)
+        SELECT 'explained_variance' AS metric, round(v, 5) AS value FROM l UNION ALL SELECT 'samples', n FROM l UNION ALL SELECT 'features', 3.0 FROM l""",
     "truncated_svd": f"""WITH {_PARTS}, m AS (SELECT 0.5 * atan2(2 * avg(s * r), avg(s * s) - avg(r * r)) AS th FROM p)
         SELECT p_partkey, round((s * cos(th) + r * sin(th)) * CASE WHEN abs(cos(th)) >= abs(sin(th)) THEN sign(cos(th)) ELSE sign(sin(th)) END, 5) AS component1 FROM p, m""",
     "embedding_preview": f"WITH {_PARTS}, {_AXIS} SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS row_index, round(f * ((s - ms) * cos(th) + (r - mr) * sin(th)), 5) AS component1 FROM p, x ORDER BY p_partkey LIMIT 2000",

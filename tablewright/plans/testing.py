@@ -189,6 +189,15 @@ ORACLES = {
         "sst - ab",
         "n - la - 1",
     ),
+    # treatment coding: dropping a term pools the cells at the other factor's first level only
+    "factorial_anova_type_3": _effects_sql(
+        """SELECT 'Intercept' AS term, 1.0::DOUBLE AS df, (SELECT count(*) * avg(y) ** 2 FROM y WHERE a = 'A' AND b = 0) AS ss FROM q
+        UNION ALL SELECT 'C(l_returnflag)', (la - 1)::DOUBLE, (SELECT sum(n * (m - g) ** 2) FROM (SELECT count(*) AS n, avg(y) AS m FROM y WHERE b = 0 GROUP BY a), (SELECT avg(y) AS g FROM y WHERE b = 0)) FROM q
+        UNION ALL SELECT 'C(l_linestatus)', 1.0, (SELECT sum(n * (m - g) ** 2) FROM (SELECT count(*) AS n, avg(y) AS m FROM y WHERE a = 'A' GROUP BY b), (SELECT avg(y) AS g FROM y WHERE a = 'A')) FROM q
+        UNION ALL SELECT 'C(l_returnflag):C(l_linestatus)', (la - 1)::DOUBLE, c - ab FROM q""",
+        "sst - c",
+        "n - lc",
+    ),
     "factorial_fit": f"""WITH {_TWO_FACTORS}, z AS (SELECT (c / (lc - 1)) / ((sst - c) / (n - lc)) AS f, (lc - 1)::DOUBLE AS d1, (n - lc)::DOUBLE AS d2 FROM q)
         SELECT n::BIGINT AS samples, round(c / sst, 6) AS r2, round(1 - (1 - c / sst) * (n - 1) / (n - lc), 6) AS adj_r2,
             round((SELECT f FROM z), 6) AS f_statistic, round({_f_tail('z')}, 6) AS model_p_value FROM q""",
