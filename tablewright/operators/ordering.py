@@ -110,20 +110,25 @@ def keyed_digest(seed: int, key: Sequence[str]) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[col(c).cast("string") for c in key]))
 
 
-def smallest_digest_cut(hashed: DataFrame, digest: str, quotas: DataFrame, strata: list[str]) -> DataFrame:
+def smallest_digest_cut(hashed: DataFrame, digest: str, quotas: DataFrame | Column, strata: list[str]) -> DataFrame:
     """(strata..., cut): the digest of the quota-th smallest row of every stratum.
 
-    ``quotas`` has (strata..., quota). Two narrow passes: counts per four-digit prefix locate the
+    ``quotas`` has (strata..., quota), or is an expression of ``stratum_rows``, the size of a stratum,
+    which the prefix counts give for free. Two narrow passes: counts per four-digit prefix locate the
     prefix that holds the cut, then only the rows of that prefix (1/65536 of a stratum) are ranked.
     A stratum with a third of all rows is therefore never sorted as a whole.
     """
     prefix = F.substring(digest, 1, 4)
     counts = hashed.groupBy(*strata, prefix.alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
     upto = Window.partitionBy(*strata).orderBy("prefix").rowsBetween(Window.unboundedPreceding, 0)
+    counted = counts.withColumn("upto", F.sum("n").over(upto))
+    if isinstance(quotas, DataFrame):
+        wanted = counted.join(quotas, strata)
+    else:
+        whole = Window.partitionBy(*strata)
+        wanted = counted.withColumn("stratum_rows", F.sum("n").over(whole)).withColumn("quota", quotas)
     located = (
-        counts.withColumn("upto", F.sum("n").over(upto))
-        .join(quotas, strata)
-        .filter((F.col("upto") >= F.col("quota")) & (F.col("upto") - F.col("n") < F.col("quota")))
+        wanted.filter((F.col("upto") >= F.col("quota")) & (F.col("upto") - F.col("n") < F.col("quota")))
         .select(*strata, "prefix", (F.col("quota") - (F.col("upto") - F.col("n"))).alias("rank_in_prefix"))
     )
     inside = Window.partitionBy(*strata, "prefix").orderBy(digest)

@@ -135,8 +135,7 @@ def hash_sample(df: DataFrame, key: list[str], seed: int, rows: int = SAMPLE_ROW
     ordering only ever sees about ``rows`` rows instead of that many from every partition.
     """
     hashed = df.withColumn("__digest", keyed_digest(seed, key)).withColumn("__all", F.lit(1))
-    quota = df.sparkSession.range(1).select(F.lit(1).alias("__all"), F.lit(rows).cast("long").alias("quota"))
-    cut = smallest_digest_cut(hashed, "__digest", quota, ["__all"]).first()
+    cut = smallest_digest_cut(hashed, "__digest", F.lit(rows).cast("long"), ["__all"]).first()
     kept = hashed.filter(F.col("__digest") <= F.lit(cut["cut"])) if cut else hashed
     return kept.orderBy("__digest", *[col(c) for c in key]).limit(rows).drop("__digest", "__all")
 

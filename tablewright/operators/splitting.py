@@ -19,8 +19,8 @@ def random_split(df: DataFrame, key: Sequence[str], ratio: float, seed: int, fla
     ``key`` must identify a row; rows that share the whole key fall on the same side.
     """
     hashed = df.withColumn("digest", keyed_digest(seed, key)).withColumn("stratum", F.lit(1))
-    quotas = hashed.groupBy("stratum").agg(F.ceil(F.count(F.lit(1)) * F.lit(ratio)).alias("quota"))
-    cut = smallest_digest_cut(hashed, "digest", quotas, ["stratum"]).first()
+    quota = F.ceil(F.col("stratum_rows") * F.lit(ratio))
+    cut = smallest_digest_cut(hashed, "digest", quota, ["stratum"]).first()
     if cut is None:
         raise TableError("an empty dataset cannot be split")
     return hashed.withColumn(flag, F.col("digest") <= F.lit(cut["cut"])).drop("digest", "stratum")
@@ -70,27 +70,12 @@ def three_way_split(
 ) -> DataFrame:
     """train / validation / test by digest rank: test first, then validation, the rest is train."""
     hashed = df.withColumn("digest", keyed_digest(seed, key))
-    total = hashed.groupBy().agg(F.count(F.lit(1)).alias("n"))
-    test = F.ceil(F.col("n") * F.lit(test_ratio))
-    wanted = total.select(
-        F.explode(
-            F.array(
-                F.struct(F.lit("test").alias("cut_of"), test.alias("quota")),
-                F.struct(
-                    F.lit("validation").alias("cut_of"),
-                    (test + F.ceil(F.col("n") * F.lit(validation_ratio))).alias("quota"),
-                ),
-            )
-        ).alias("r")
-    ).select("r.*")
+    test = F.ceil(F.col("stratum_rows") * F.lit(test_ratio))
+    both = test + F.ceil(F.col("stratum_rows") * F.lit(validation_ratio))
+    one = hashed.withColumn("stratum", F.lit(1))
     cuts = {
-        row["cut_of"]: smallest_digest_cut(
-            hashed.withColumn("cut_of", F.lit(row["cut_of"])),
-            "digest",
-            wanted.filter(F.col("cut_of") == row["cut_of"]),
-            ["cut_of"],
-        ).first()["cut"]
-        for row in wanted.collect()
+        name: smallest_digest_cut(one, "digest", quota, ["stratum"]).first()["cut"]
+        for name, quota in (("test", test), ("validation", both))
     }
     return hashed.withColumn(
         part,
