@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from ..errors import ParameterError
 from .profiling import value_frequencies
 from .quantiles import exact_quantiles
-from .shape import col, finite, quoted
+from .shape import col, quoted
 
 FEATURES = "features"
 

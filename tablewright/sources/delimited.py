@@ -21,7 +21,7 @@ def normalise_headers(values: Iterable[str | None]) -> list[str]:
     seen: dict[str, int] = {}
     names = []
     for position, value in enumerate(values, start=1):
-        name = (value or "").strip().lstrip("﻿").strip() or f"{BLANK_HEADER_PREFIX}{position}"
+        name = (value or "").strip().lstrip("\ufeff").strip() or f"{BLANK_HEADER_PREFIX}{position}"
         seen[name] = seen.get(name, 0) + 1
         names.append(name if seen[name] == 1 else f"{name}_{seen[name]}")
     return names

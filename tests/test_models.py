@@ -63,8 +63,6 @@ def test_quantile_fit_equals_grid_search(numbers):
     frame = numbers.toPandas()
     run = supervised.run_supervised(numbers, "quantile_regressor", "target_value", ["id"], ["feature_x"], parameters={"quantile": 0.3, "alpha": 0.0})
     line = run.model.pipeline.stages[-1]
-    scaled = run.model.pipeline.transform(numbers).select("id", "prediction").toPandas()
-    del scaled
     held = {r["id"] for r in run.predictions.select("id").collect()}
     train = frame[~frame.id.isin(held)]
     z = (train.feature_x - train.feature_x.mean()) / train.feature_x.std(ddof=0)
