@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
@@ -277,4 +277,6 @@ def keep_one(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int
     chosen = stored(chosen.withColumnRenamed("count", "__rows"), "simhash-kept")
     once = docs.join(chosen.filter("__rows = 1"), F.col("doc_id") == F.col("__id"), "left_semi")
     often = docs.join(chosen.filter("__rows > 1"), F.col("doc_id") == F.col("__id"), "left_semi")
-    return once.unionByName(often.dropDuplicates(["doc_id"])).unionByName(docs.filter(F.col("doc_id").isNull()))
+    first = Window.partitionBy("doc_id").orderBy("text")
+    often = often.withColumn("__place", F.row_number().over(first)).filter("__place = 1").drop("__place")
+    return once.unionByName(often).unionByName(docs.filter(F.col("doc_id").isNull()))
