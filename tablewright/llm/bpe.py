@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WORDS_KEPT = 400_000
+WORDS_KEPT = 700_000
 END = "\u0100"  # stands for the end of a word; texts are held as one character per byte, so it is free
 
 # Fixed values of the vocabulary file's own splitter: its contractions, and the special strings found first.

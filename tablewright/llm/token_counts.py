@@ -8,6 +8,7 @@ the worker in one call. Only numbers leave the function.
 from __future__ import annotations
 
 import functools
+import heapq
 import os
 from collections.abc import Iterator
 from itertools import chain
@@ -27,11 +28,10 @@ TOKEN_LIMIT = 2048
 class LibraryWords:
     """Words of texts and what the library makes of each of them; a word is encoded alone, as the splitter would."""
 
-    def __init__(self, path: str, ids: bool = False):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on every core
         self.splitter = Splitter(path)
-        self.ids = ids
-        self.known: dict[str, bytes | int] = {}
+        self.known: dict[str, int] = {}
 
     def learn(self, words: set[str]) -> None:
         fresh = list(words.difference(self.known))
@@ -42,15 +42,12 @@ class LibraryWords:
         for at in range(0, len(fresh), 20_000):
             part = fresh[at : at + 20_000]
             found = library.encode_batch_fast(part, add_special_tokens=False)
-            if self.ids:
-                self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, found))
-            else:
-                self.known.update((w, len(e)) for w, e in zip(part, found))
+            self.known.update((w, len(e)) for w, e in zip(part, found))
 
 
 @functools.lru_cache(maxsize=2)
-def library_words(path: str, ids: bool = False) -> LibraryWords:
-    return LibraryWords(path, ids)
+def library_words(path: str) -> LibraryWords:
+    return LibraryWords(path)
 
 
 def pieces(text: str, size: int = PIECE_CHARS) -> list[str]:
@@ -69,8 +66,6 @@ def pieces(text: str, size: int = PIECE_CHARS) -> list[str]:
 def balanced(items: list[tuple[int, str]], limit: int = BATCH_BYTES) -> list[list[tuple[int, str]]]:
     """(owner, piece) items in sub-batches of at most about ``limit`` bytes, evenly filled: the longest first,
     each to the sub-batch that holds least."""
-    import heapq
-
     sizes = [len(piece.encode("utf-8", "surrogatepass")) for _, piece in items]
     wanted = max(1, -(-sum(sizes) // limit))
     heap = [(0, i) for i in range(wanted)]
