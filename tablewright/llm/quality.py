@@ -80,11 +80,17 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         .withColumn("__placed", placed)
         .select(
             *[F.col(f"`{c}`") for c in kept if c not in (*BASE, "base_failed")],
-            n.cast("long").alias("n_words"),
-            F.length(_removed(body, BLANK_CHARACTERS)).cast("long").alias("word_chars"),
-            (F.length(body) - F.length(_removed(body, SYMBOLS))).cast("long").alias("n_symbols"),
-            (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
-            covered.cast("long").alias("n_repeat_words"),
+            F.inline(  # a generator: later filters on the counts are not pushed below it, which would work them out again
+                F.array(
+                    F.struct(
+                        n.cast("long").alias("n_words"),
+                        F.length(_removed(body, BLANK_CHARACTERS)).cast("long").alias("word_chars"),
+                        (F.length(body) - F.length(_removed(body, SYMBOLS))).cast("long").alias("n_symbols"),
+                        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
+                        covered.cast("long").alias("n_repeat_words"),
+                    )
+                )
+            ),
         )
         .withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
     )
