@@ -71,7 +71,7 @@ def formatted_turns(turns: DataFrame, parts: str = "parts") -> DataFrame:
     """(conv_id, turn, role, content, attachments, segment, mask_start, mask_length), a row per turn.
 
     ``segment`` is the turn as it stands in the output; the mask, in characters of the segment from 0, covers
-    the content of trained turns and is empty for others.
+    the content of trained turns and is empty for others. Null parts are no content.
     """
     role = F.coalesce(F.col("role"), F.lit(""))
     head = F.concat(F.lit(OPEN), escape(role), F.lit(SAYS))
@@ -83,6 +83,7 @@ def formatted_turns(turns: DataFrame, parts: str = "parts") -> DataFrame:
             expanded_tokens(x["part"]).alias("tokens"),
         ),
     )
+    attachments = F.coalesce(attachments, F.array().cast("array<struct<place:int,type:string,ref:string,tokens:bigint>>"))
     rows = turns.select(
         "conv_id", "turn", role.alias("role"), head.alias("head"), F.coalesce(visited, F.lit("")).alias("content"), attachments.alias("attachments")
     )

@@ -73,7 +73,8 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes, bytes]:
 class Bundle:
     """Collects records; ``finish`` gives the bytes of the file."""
 
-    def __init__(self):
+    def __init__(self, frame_bytes: int = FRAME_BYTES):
+        self.frame_bytes = frame_bytes
         self.compressor = zstandard.ZstdCompressor(level=LEVEL, write_content_size=True)
         self.parts: list[bytes] = []
         self.sizes: list[tuple[int, int]] = []
@@ -84,7 +85,7 @@ class Bundle:
     def add(self, name: str, raw: bytes) -> None:
         self.map.append((name, len(self.sizes), len(self.open), len(raw)))
         self.open += raw
-        if len(self.open) >= FRAME_BYTES:
+        if len(self.open) >= self.frame_bytes:
             self._close()
 
     def _close(self) -> None:
@@ -147,7 +148,9 @@ def revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     return found.select("page_id", "code", "refers_to").distinct()
 
 
-def write_bundles(pages: DataFrame, folder: str, least_bytes: int = 0, bundle_bytes: int = BUNDLE_BYTES) -> None:
+def write_bundles(
+    pages: DataFrame, folder: str, least_bytes: int = 0, bundle_bytes: int = BUNDLE_BYTES, frame_bytes: int = FRAME_BYTES
+) -> None:
     """Writes every row of ``pages`` as a record into bundles in ``folder``, which must not exist."""
     known = stored(revisits(pages, least_bytes), "warc-revisits")
     known = known.select(F.col("page_id").alias("id"), "code", "refers_to")
@@ -159,14 +162,14 @@ def write_bundles(pages: DataFrame, folder: str, least_bytes: int = 0, bundle_by
         def out(bundle: Bundle) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([bundle.finish()[:-1]], pa.binary())], ["content"])
 
-        bundle = Bundle()
+        bundle = Bundle(frame_bytes)
         for batch in batches:
             for page_id, url, payload, refers_to in zip(*batch.columns):
                 raw = record(page_id.as_py(), url.as_py(), payload.as_py().encode(), refers_to.as_py())
                 bundle.add(record_id(page_id.as_py()), raw)
                 if bundle.length >= bundle_bytes:
                     yield out(bundle)
-                    bundle = Bundle()
+                    bundle = Bundle(frame_bytes)
         if bundle.map:
             yield out(bundle)
 
