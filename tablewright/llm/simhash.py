@@ -275,7 +275,8 @@ def keep_one(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int
     found = near_duplicates(docs, shingle_words, max_bits)
     chosen = found.filter(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("__id")).count()
     chosen = stored(chosen.withColumnRenamed("count", "__rows"), "simhash-kept")
-    once = docs.join(chosen.filter("__rows = 1"), F.col("doc_id") == F.col("__id"), "left_semi")
+    # The kept ids grow with the documents, so this join is a shuffle at every size.
+    once = docs.join(chosen.filter("__rows = 1").hint("merge"), F.col("doc_id") == F.col("__id"), "left_semi")
     often = docs.join(chosen.filter("__rows > 1"), F.col("doc_id") == F.col("__id"), "left_semi")
     first = Window.partitionBy("doc_id").orderBy("text")
     often = often.withColumn("__place", F.row_number().over(first)).filter("__place = 1").drop("__place")
