@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -30,6 +31,7 @@ def main() -> None:
         **{
             "spark.sql.shuffle.partitions": str(max(4, int(cpus))), "spark.ui.enabled": "false", "spark.driver.memory": "12g",
             "spark.driver.host": "127.0.0.1", "spark.driver.bindAddress": "127.0.0.1",
+            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="tablewright-bench-"),
         },
     )
     spark.sparkContext.setLogLevel("ERROR")

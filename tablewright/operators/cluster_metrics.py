@@ -14,9 +14,6 @@ from ..functions.scalars import euclidean
 from .counting import group_ratios
 from .neighbors import BLOCK_ROWS, block_join, distances, matrix
 
-# The plain silhouette compares every pair of rows; above this size the closed form for squared
-# distances is reported instead, under its own name.
-PAIRWISE_ROWS = 50_000
 DRIVER_CENTRES = 2000
 
 
@@ -130,15 +127,20 @@ def noise_counts(points: DataFrame) -> DataFrame:
     )
 
 
-def cluster_metrics(points: DataFrame, pairwise_rows: int = PAIRWISE_ROWS) -> tuple[dict[str, float], list[str]]:
-    """Metric values and warnings; quality measures need at least two clusters and a spare row."""
+def cluster_metrics(points: DataFrame, pairwise: bool = False) -> tuple[dict[str, float], list[str]]:
+    """Metric values and warnings; quality measures need at least two clusters and a spare row.
+
+    The silhouette of squared distances needs one pass and is always among them. ``pairwise`` adds the plain
+    one, which compares every pair of rows.
+    """
     counts = noise_counts(points).first()
     metrics = {name: float(counts[name]) for name in ("samples", "clusters", "noise_samples", "noise_ratio")}
     rows = counts["samples"] - counts["noise_samples"]
     if not 1 < counts["clusters"] < rows:
         return metrics, ["too few clusters for quality measures"]
-    frames = [calinski_harabasz(points), davies_bouldin(points)]
-    frames.append(silhouette(points) if rows <= pairwise_rows else silhouette_squared(points))
+    frames = [calinski_harabasz(points), davies_bouldin(points), silhouette_squared(points)]
+    if pairwise:
+        frames.append(silhouette(points))
     for frame in frames:
         metrics.update({k: float(v) for k, v in frame.first().asDict().items()})
     return metrics, []

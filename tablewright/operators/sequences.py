@@ -18,7 +18,7 @@ from ..errors import ParameterError, TableError
 from ..functions.scalars import to_strict_timestamp
 from ..session import cut_lineage
 from .evaluation import classification_metrics, regression_metrics
-from .ordering import HOT_SERIES_ROWS, sliding_windows
+from .ordering import HOT_SERIES_ROWS, add_row_index, sliding_windows
 from .preparation import fit_scaling
 from .shape import col, long_metrics
 from .splitting import time_cutoff
@@ -86,18 +86,24 @@ def sequence_data(
     windows = sliding_windows(scaled, "series", ["at", *order_by], slots, window, horizon, hot_rows).drop(*slots)
     labels = None
     if classification:
-        known = frame.filter("is_train").select(F.col("target").cast("string").alias("name")).distinct()
-        labels = sorted(r[0] for r in known.limit(10_001).collect())
+        coded = label_codes(frame.filter("is_train"), "target")
+        # the network has one output per class, so the class names are no larger than the model
+        labels = [r["name"] for r in coded.orderBy("label").collect()]
         if len(labels) < 2:
             raise TableError("a sequence class target needs at least two training classes")
-        codes = F.create_map(*[x for i, v in enumerate(labels) for x in (F.lit(v), F.lit(float(i)))])
         # rows whose label was not seen in training are left out
-        windows = windows.withColumn("label", F.try_element_at(codes, F.col("target").cast("string"))).filter("label IS NOT NULL")
+        windows = windows.join(coded, F.col("target").cast("string") == F.col("name")).drop("name")
     else:
         windows = windows.withColumn("label", F.col("target").cast("double"))
     return SequenceData(windows, cutoff, names, labels, scaling)
 
 
+def label_codes(rows: DataFrame, target: str) -> DataFrame:
+    """(name, label): every class of the rows and its place in the order of names, as a double."""
+    names = rows.select(F.col(target).cast("string").alias("name")).filter("name IS NOT NULL").distinct()
+    return add_row_index(names, ["name"], "label").withColumn("label", F.col("label").cast("double"))
+
+
 def flattened(windows: DataFrame, width: int) -> DataFrame:
     """Adds features: the window values in time order as one vector."""
     parts = F.flatten(F.transform("window_values", lambda w: F.array(*[w[f"f{i}"] for i in range(width)])))

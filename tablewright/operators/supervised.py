@@ -71,7 +71,10 @@ class Facts:
 
 
 def _depth(parameters: Mapping, default: int) -> int:
-    return min(TREE_DEPTH_LIMIT, int(parameters.get("max_depth", default)))
+    depth = int(parameters.get("max_depth", default))
+    if depth > TREE_DEPTH_LIMIT:
+        raise ParameterError(f"max_depth above {TREE_DEPTH_LIMIT} cannot be trained")
+    return depth
 
 
 def _boosted(estimator: Estimator, facts: Facts) -> Estimator:

@@ -160,8 +160,12 @@ def run(
     parameters: Mapping[str, object] | None = None,
     validation_ratio: int = 20,
     seed: int = 42,
+    pairwise_silhouette: bool = False,
 ) -> Result:
-    """Runs a catalogued algorithm on a dataset. ``key`` names the columns that identify a row."""
+    """Runs a catalogued algorithm on a dataset. ``key`` names the columns that identify a row.
+
+    ``pairwise_silhouette`` adds the plain silhouette, which compares every pair of rows, to a clustering's metrics.
+    """
     p = normalise_parameters(algorithm, parameters or {})
     task = ALGORITHMS[algorithm].task
     roles = {"target": target, "factors": factors, "time": time}
@@ -180,7 +184,7 @@ def run(
         done = sequences.run_sequence(df, algorithm, target, time, group, chosen, ties, p, ratio, seed)
         return Result(algorithm, done.metrics, done.tables, model=done.model)
     if task == "clustering":
-        return _cluster(df, algorithm, key, select_features(df, features, {target, time, group, *key}), p, seed)
+        return _cluster(df, algorithm, key, select_features(df, features, {target, time, group, *key}), p, seed, pairwise_silhouette)
     if task == "anova":
         return _variance(df, algorithm, target, factors, p)
     if task == "hypothesis_test":
@@ -192,7 +196,7 @@ def _values(df: DataFrame, values: Mapping[str, float]) -> DataFrame:
     return df.sparkSession.createDataFrame([(k, float(v)) for k, v in values.items()], "metric string, value double")
 
 
-def _cluster(df: DataFrame, algorithm: str, key: Sequence[str], features: list[str], p: Mapping, seed: int) -> Result:
+def _cluster(df: DataFrame, algorithm: str, key: Sequence[str], features: list[str], p: Mapping, seed: int, pairwise_silhouette: bool = False) -> Result:
     k = p.get("n_clusters", p.get("n_components"))
     needed = max(MIN_CLUSTER_ROWS, (k or 0) + 1)
     if df.limit(needed).count() < needed:
@@ -228,7 +232,7 @@ def _cluster(df: DataFrame, algorithm: str, key: Sequence[str], features: list[s
         labels = clustering.agglomerative(points, k, seed)
     labelled = clustering.cut_lineage(points.join(labels, "id").select("id", "x", "cluster"))
     points.unpersist()
-    metrics, warnings = cluster_metrics.cluster_metrics(labelled)
+    metrics, warnings = cluster_metrics.cluster_metrics(labelled, pairwise_silhouette)
     tables = {"cluster_summary": cluster_metrics.cluster_summary(labelled), "assignments": cluster_metrics.assignment_preview(labelled)}
     return Result(algorithm, _values(df, metrics), tables, warnings, (preparation, model))
 

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -20,6 +21,7 @@ def make_session():
             "spark.driver.memory": "8g",
             "spark.driver.bindAddress": "127.0.0.1",
             "spark.driver.host": "127.0.0.1",
+            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="tablewright-tests-"),
         },
     )
     session.sparkContext.setLogLevel("ERROR")

@@ -105,9 +105,9 @@ def rand_index(a, b):
 )
 def test_clusterings_find_the_blobs(spark, algorithm, parameters):
     frame = fixtures.blobs(spark)
-    result = registry.run(frame, algorithm, key=["id"], features=["feature_x", "feature_y"], parameters=parameters)
+    result = registry.run(frame, algorithm, key=["id"], features=["feature_x", "feature_y"], parameters=parameters, pairwise_silhouette=True)
     metrics = values(result.metrics)
-    assert metrics["clusters"] == 3 and metrics["silhouette"] > 0.70
+    assert metrics["clusters"] == 3 and metrics["silhouette_squared"] > 0.70 and metrics["silhouette"] > 0.70
     rows = result.tables["assignments"].orderBy("row_index").collect()
     truth = [r["expected"] for r in frame.orderBy("id").collect()]
     assert rand_index(truth, [r["cluster"] for r in rows]) > 0.90

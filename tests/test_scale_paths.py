@@ -122,3 +122,31 @@ def test_micro_clusters_keep_all_rows(spark):
     labels = clustering.agglomerative(frame, 3, 42, limit=40)
     sizes = sorted(r["count"] for r in labels.groupBy("cluster").count().collect())
     assert sizes == [120, 120, 120]
+
+
+def test_many_classes_keep_all_windows(spark):
+    rows = [(i, "s", float(i % 7), f"class {i % 12_000}") for i in range(30_000)]
+    frame = spark.createDataFrame(rows, "at long, series string, v double, name string").withColumn("t", F.timestamp_seconds("at"))
+    data = sequences.sequence_data(frame, "name", "t", "series", ["v"], window=12, horizon=1, classification=True)
+    assert len(data.labels) == 12_000 and data.labels == sorted(data.labels)
+    assert data.windows.count() == 30_000 - 12
+    assert data.windows.filter(F.element_at(F.array(F.lit(data.labels[77])), 1) == F.col("target")).select("label").distinct().first()[0] == 77.0
+
+
+def test_birch_cells_at_fixed_width_in_many_columns(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(2000, 12)) * 0.3 + np.repeat([[-9.0], [0.0], [9.0]], [600, 700, 700], axis=0)
+    frame = points(spark, x)
+    cells = {tuple(r["cell"]): r["weight"] for r in clustering.birch_cells(frame).collect()}
+    keys, counts = np.unique(np.floor(x / 0.5).astype(int), axis=0, return_counts=True)
+    assert cells == {tuple(k): c for k, c in zip(keys.tolist(), counts)} and len(cells) > 1000
+    found = np.array([r["cluster"] for r in clustering.birch(frame, 3).orderBy("id").collect()])
+    assert len({(a, b) for a, b in zip(found, np.repeat([0, 1, 2], [600, 700, 700]))}) == 3
+
+
+def test_depth_beyond_the_limit_is_refused(spark):
+    from tablewright import registry
+    from tablewright.errors import ParameterError
+
+    with pytest.raises(ParameterError, match="max_depth"):
+        registry.run(fixtures.classification(spark), "decision_tree_classifier", key=["id"], target="target_class", parameters={"max_depth": 40})
