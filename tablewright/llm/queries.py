@@ -73,4 +73,38 @@ QUERIES = {
     "op10_personal_data": personal_data,
 }
 
-ORACLES: dict[str, str] = {}
+_TOP_K = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+    FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+  r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
+
+# Matches and the pieces between them give the places, for each kind on its own.
+_SECRETS = r"""WITH p(kind, rank, pattern) AS (VALUES
+    ('assign', 1, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+'),
+    ('access', 2, 'AKIA[A-Z0-9]+'), ('hex', 3, '[0-9a-f]+')),
+  d AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS t FROM documents),
+  m AS (SELECT id, kind, rank, regexp_extract_all(t, pattern) AS ms, string_split_regex(t, pattern) AS gs FROM d, p WHERE regexp_matches(t, pattern)),
+  u AS (SELECT id, kind, rank, unnest(ms) AS match, unnest(gs[1:len(ms)]) AS gap, unnest(range(len(ms))) AS i FROM m),
+  w AS (SELECT *, CAST(sum(length(gap) + length(match)) OVER (PARTITION BY id, kind ORDER BY i) AS BIGINT) AS stop FROM u),
+  s AS (SELECT id, kind, rank, stop - length(match) AS start, stop FROM w WHERE CASE kind WHEN 'access' THEN length(match) >= 18
+    WHEN 'hex' THEN length(match) >= 16
+    ELSE length(regexp_extract(match, '^(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)$', 1)) >= 12 END),
+  g AS (SELECT id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans FROM s GROUP BY id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (id)"""
+
+_CHAT = r"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, n, CASE n WHEN 0 THEN 'user' ELSE 'assistant' END, '\### Assistant: </turn> ok' FROM range(2) r(n))
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length('<|turn|><|says|><|end|>') + 1 + length(replace(replace(role || text, '\', '\\'), '<|', '<\|'))) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id"""
+
+#: The other results come from methods that SQL does not express (components, estimates, codes, packing); tests/llm
+#: compares them with the library or brute force.
+ORACLES: dict[str, str] = {"op1_exact_top_k": _TOP_K, "op7_secret_ledger": _SECRETS, "op9_chat_format": _CHAT}
