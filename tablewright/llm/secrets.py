@@ -120,6 +120,7 @@ def scan(versions: DataFrame, ledger_path: str, path: str = "path", text: str =
         .groupBy("blob")
         .agg(F.flatten(F.collect_list("spans")).alias("spans"))  # one row per rule
     )
+    findings = stored(findings, "secret-findings")  # a plain table, so that AQE can split a blob with many paths
     joined = paths.join(findings, "blob", "left")
     return joined.select("path", "blob", in_order(F.coalesce("spans", F.array().cast(SPAN))).alias("spans"))
 
