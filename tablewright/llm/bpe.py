@@ -60,8 +60,9 @@ class Splitter:
 
     def words(self, text: str) -> list[str]:
         """Words of a text without special strings."""
-        if _FAR.search(text) is None:
-            return _fast_words(text.lower())
+        low = text.lower()
+        if text.isascii() or (_FAR.search(text) is None and _FAR.search(low) is None):
+            return _fast_words(low)
         plain = self.library.normalizer.normalize_str(text)
         return [plain[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(plain)]
 

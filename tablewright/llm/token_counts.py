@@ -30,7 +30,11 @@ class LibraryWords:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on every core
+        from tokenizers import Tokenizer, normalizers
+
         self.splitter = Splitter(path)
+        self.library = Tokenizer.from_file(path)
+        self.library.normalizer = normalizers.Sequence([])  # words are normalised, and doing so twice may change them
         self.known: dict[str, int] = {}
 
     def learn(self, words: set[str]) -> None:
@@ -38,10 +42,9 @@ class LibraryWords:
         if len(self.known) + len(fresh) > WORDS_KEPT:
             self.known.clear()
             fresh = list(words)
-        library = self.splitter.library
         for at in range(0, len(fresh), 20_000):
             part = fresh[at : at + 20_000]
-            found = library.encode_batch_fast(part, add_special_tokens=False)
+            found = self.library.encode_batch_fast(part, add_special_tokens=False)
             self.known.update((w, len(e)) for w, e in zip(part, found))
 
 
