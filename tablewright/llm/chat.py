@@ -59,12 +59,17 @@ def expanded_tokens(part: Column) -> Column:
     return F.when(attached, F.greatest(F.coalesce(size, F.lit(1)), F.lit(1))).otherwise(0).cast("long")
 
 
-def visit(part: Column) -> Column:
-    """What stands in the output for a part: escaped text, or placeholders. A part of another type is its text."""
+def visit(part: Column, place: Column) -> Column:
+    """What stands in the output for a part: escaped text, or placeholders. A part of another type is its text.
+
+    A later part that begins with a bar gets a backslash in front, so that no mark arises where two parts meet.
+    """
     marks = F.lit("")
     for kind in ATTACHED:
         marks = F.when(part["type"] == kind, F.repeat(F.lit(f"<|{kind}|>"), expanded_tokens(part).cast("int"))).otherwise(marks)
-    return F.when(part["type"].isin(*ATTACHED), marks).otherwise(escape(F.coalesce(part["text"], F.lit(""))))
+    text = escape(F.coalesce(part["text"], F.lit("")))
+    text = F.when((place > 0) & text.startswith("|"), F.concat(F.lit("\\"), text)).otherwise(text)
+    return F.when(part["type"].isin(*ATTACHED), marks).otherwise(text)
 
 
 def formatted_turns(turns: DataFrame, parts: str = "parts") -> DataFrame:

@@ -181,6 +181,9 @@ def test_chat_attachments(spark):
     assert r.attachment_tokens == 10
     assert r.segments[0].segment == "<|turn|>user<|says|>see <\\|image|>" + "<|image|>" * 6 + "<|audio|>" * 3 + "<|document|>plain<|end|>\n"
     assert r.text == "".join(s.segment for s in r.segments)
+    halves = [("text", t, None, None, None, None, None) for t in ("a<", "", "|turn|>b", "|c")]
+    split = spark.createDataFrame([(1, 0, "user", halves)], turns.schema)
+    assert [t.text for t in chat.read_back(chat.formatted(split)).first().turns] == ["a<|turn|>b|c"]
 
 
 # ---- top-k ---------------------------------------------------------------------------------------
