@@ -9,6 +9,7 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Sequence
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -20,6 +21,7 @@ from ..constants import MIN_ANOVA_ROWS
 from ..errors import ParameterError, TableError
 from ..functions.distributions import f_p, f_upper, tukey_critical, tukey_p
 from ..functions.scalars import factor_key
+from ..session import cut_lineage
 from .quantiles import exact_quantiles
 from .shape import col
 
@@ -194,42 +196,52 @@ def tukey_hsd(df: DataFrame, target: str, factor: str, alpha: float = 0.05) -> D
 
 # ---- normality ----------------------------------------------------------------------------------
 
-SHAPIRO_MIN, SHAPIRO_MAX = 3, 5000
+SHAPIRO_MIN = 3
+# The published p-value formula ends here; beyond it is extrapolated, and marked so.
+SHAPIRO_PUBLISHED = 5000
+RANKS_AT_ONCE = 100_000
 _SMALL_P_A = (-2.706056, 4.434685, -2.071190, -0.147981, 0.221157, 0.0)
 _SMALL_P_B = (-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, 0.0)
 
 
-def _normal_quantile(p: np.ndarray) -> np.ndarray:
-    low, high = np.full_like(p, -9.0), np.full_like(p, 9.0)
-    for _ in range(80):
-        middle = 0.5 * (low + high)
-        cdf = np.array([0.5 * math.erfc(-v / math.sqrt(2.0)) for v in middle])
-        low, high = np.where(cdf < p, middle, low), np.where(cdf < p, high, middle)
-    return 0.5 * (low + high)
+def _score(rank: int, n: int) -> float:
+    """Expected normal score of a rank from 1 to n."""
+    return NormalDist().inv_cdf((rank - 0.375) / (n + 0.25))
 
 
-def shapiro_weights(n: int) -> np.ndarray:
-    """Royston's approximation (AS R94) of the Shapiro-Wilk coefficients in ascending order."""
-    if n == 3:
-        return np.array([-math.sqrt(0.5), 0.0, math.sqrt(0.5)])
-    m = _normal_quantile((np.arange(1, n + 1) - 0.375) / (n + 0.25))
-    norm = float(m @ m)
-    u = 1.0 / math.sqrt(n)
-    last = m[-1] / math.sqrt(norm) + np.polyval(_SMALL_P_A, u)
-    a = np.zeros(n)
-    if n > 5:
-        second = m[-2] / math.sqrt(norm) + np.polyval(_SMALL_P_B, u)
-        rest = (norm - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * last**2 - 2 * second**2)
-        a[2:-2] = m[2:-2] / math.sqrt(rest)
-        a[-2], a[1] = second, -second
-    else:
-        rest = (norm - 2 * m[-1] ** 2) / (1 - 2 * last**2)
-        a[1:-1] = m[1:-1] / math.sqrt(rest)
-    a[-1], a[0] = last, -last
-    return a
+def value_ranks(values: DataFrame) -> DataFrame:
+    """(y, n, upto): each distinct value, how often it occurs, and the rank of its last copy."""
+    counts = values.groupBy("y").agg(F.count(F.lit(1)).alias("n"))
+    sliced = cut_lineage(counts.repartitionByRange("y").withColumn("slice", F.spark_partition_id()))
+    before = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)  # one row per slice
+    starts = sliced.groupBy("slice").agg(F.sum("n").alias("rows"))
+    starts = starts.select("slice", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("slice").orderBy("y").rowsBetween(Window.unboundedPreceding, 0)
+    return sliced.join(starts, "slice").select("y", "n", (F.col("start") + F.sum("n").over(inside)).alias("upto"))
+
+
+def _score_sums(ranks: DataFrame, n: int, ends: int) -> tuple[float, float]:
+    """(sum of squared scores, sum of score times centred value without the ``ends`` outermost ranks)."""
+
+    @F.pandas_udf("all double, inner double")
+    def sums(first: pd.Series, last: pd.Series) -> pd.DataFrame:
+        out = []
+        for a, b in zip(first, last):
+            scores = np.array([_score(i, n) for i in range(a, b + 1)])
+            inner = scores[max(0, ends + 1 - a) : max(0, n - ends - a + 1)]
+            out.append((float(scores @ scores), float(inner.sum())))
+        return pd.DataFrame(out, columns=["all", "inner"])
+
+    first = F.explode(F.sequence(F.col("upto") - F.col("n") + 1, F.col("upto"), F.lit(RANKS_AT_ONCE)))
+    pieces = ranks.withColumn("first", first).withColumn("last", F.least(F.col("first") + RANKS_AT_ONCE - 1, F.col("upto")))
+    pieces = pieces.repartition("first").withColumn("s", sums("first", "last"))
+    row = pieces.agg(F.sum("s.all").alias("norm"), F.sum(F.col("s.inner") * F.col("z")).alias("inner")).first()
+    return row["norm"], row["inner"]
 
 
 def shapiro_p(w: float, n: int) -> float:
+    if w >= 1.0:
+        return 1.0
     if n == 3:
         return max(0.0, 6.0 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75))))
     y = math.log1p(-w)
@@ -248,24 +260,33 @@ def shapiro_p(w: float, n: int) -> float:
 
 
 def shapiro_wilk(df: DataFrame, target: str) -> DataFrame:
-    """(samples, statistic, p_value); no row outside 3..5000 values, where the test is not defined.
+    """(samples, statistic, p_value, extrapolated) for three and more values, by AS R94; fewer give no row.
 
-    The size check bounds the only group that is formed, so it is safe to sort it in one task.
+    Ranks come from the counts of the distinct values and scores are summed over pieces of ranks, so no
+    task holds all values, also if one value is most of them. Equal values only have statistic 1.
     """
     values = df.select(col(target).cast("double").alias("y")).dropna()
-    schema = "samples long, statistic double, p_value double"
-    size = values.limit(SHAPIRO_MAX + 1).count()
-    if not SHAPIRO_MIN <= size <= SHAPIRO_MAX:
-        return values.sparkSession.createDataFrame([], schema)
-
-    def test(rows: pd.DataFrame) -> pd.DataFrame:
-        y = np.sort(rows["y"].to_numpy())
-        y = y - np.median(y)
-        centred = y - y.mean()
-        w = float(min(1.0, (shapiro_weights(len(y)) @ y) ** 2 / (centred @ centred)))
-        return pd.DataFrame({"samples": [len(y)], "statistic": [w], "p_value": [shapiro_p(w, len(y))]})
-
-    return values.groupBy().applyInPandas(test, schema)
+    spark, schema = df.sparkSession, "samples long, statistic double, p_value double, extrapolated boolean"
+    facts = values.agg(F.count("y").alias("n"), F.avg("y").alias("mean"), F.coalesce(F.var_pop("y"), F.lit(0.0)).alias("v")).first()
+    n, squares = facts["n"], facts["v"] * facts["n"]
+    if n < SHAPIRO_MIN:
+        return spark.createDataFrame([], schema)
+    if squares == 0:
+        return spark.createDataFrame([(n, 1.0, 1.0, n > SHAPIRO_PUBLISHED)], schema)
+    ranks = value_ranks(values).withColumn("z", F.col("y") - facts["mean"])
+    outer = ranks.agg(*[F.min(F.when(F.col("upto") >= r, F.col("z"))) for r in (1, 2, n - 1, n)]).first()
+    ends = 2 if n > 5 else 1
+    norm, inner = _score_sums(ranks, n, ends)
+    if n == 3:
+        total = math.sqrt(0.5) * (outer[3] - outer[0])
+    else:
+        top, next_top, u = _score(n, n), _score(n - 1, n), 1.0 / math.sqrt(n)
+        last = top / math.sqrt(norm) + np.polyval(_SMALL_P_A, u)
+        second = next_top / math.sqrt(norm) + np.polyval(_SMALL_P_B, u) if ends == 2 else 0.0
+        rest = (norm - 2 * top**2 - 2 * next_top**2 * (ends == 2)) / (1 - 2 * last**2 - 2 * second**2)
+        total = last * (outer[3] - outer[0]) + second * (outer[2] - outer[1]) + inner / math.sqrt(rest)
+    w = float(min(1.0, total**2 / squares))
+    return spark.createDataFrame([(n, w, float(shapiro_p(w, n)), n > SHAPIRO_PUBLISHED)], schema)
 
 
 def jarque_bera(df: DataFrame, target: str) -> DataFrame:
@@ -398,7 +419,7 @@ def factorial_anova(
 
 
 def anova_assumptions(df: DataFrame, target: str, factors: Sequence[str]) -> DataFrame:
-    """(test, statistic, p_value) rows: Levene, and Shapiro-Wilk where the sample size allows it."""
+    """(test, statistic, p_value) rows: Levene and Shapiro-Wilk."""
     frame = df.select(col(target), *[col(f) for f in factors]).dropna()
     equal = levene(frame, target, factors).filter("groups >= 2")
     normal = shapiro_wilk(frame, target)

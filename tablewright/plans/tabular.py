@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import counting
+from ..operators.ordering import add_series_index
 from ..operators.quantiles import exact_quantiles
 from ..session import use_utc
 from .tables import table
@@ -47,9 +47,10 @@ def group_ratio(spark, sf):
 
 
 def contingency(spark, sf):
-    frame = table(spark, sf, "events").select("event_type", (F.get_json_object("props", "$.k").cast("int") % 7).alias("k"))
-    # one combination is removed so that an empty cell has to appear
-    return counting.contingency(frame.filter(~((F.col("event_type") == "click") & (F.col("k") == 3))), "event_type", "k")
+    k = F.get_json_object("props", "$.k").cast("int") % 7
+    # one combination is counted under another, so that an empty cell has to appear
+    k = F.when((F.col("event_type") == "click") & (k == 3), 4).otherwise(k)
+    return counting.contingency(table(spark, sf, "events").select("event_type", k.alias("k")), "event_type", "k")
 
 
 def grouped_values(spark, sf):
@@ -110,8 +111,8 @@ def latest_state(spark, sf):
 def ordered_events(spark, sf):
     """Stable order by (group text, time) shown as the position inside each series."""
     frame = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("series"), "ts", "event_id")
-    place = F.row_number().over(Window.partitionBy("series").orderBy("ts", "event_id")) - 1
-    return frame.select("series", "event_id", place.cast("long").alias("position"))
+    placed = add_series_index(frame, "series", ["ts", "event_id"], "position")
+    return placed.select("series", "event_id", F.col("position").cast("long").alias("position"))
 
 
 def preview_limits(spark, sf):
@@ -219,7 +220,7 @@ ORACLES = {
     "unseen_labels": "SELECT p_name, count(*) AS rows FROM part WHERE p_name NOT IN (SELECT p_name FROM part WHERE p_size <= 2) GROUP BY 1",
     "group_ratio": "SELECT c_mktsegment, count(*) AS count, round(count(*)::DOUBLE / (SELECT count(*) FROM customer), 6) AS ratio FROM customer GROUP BY 1",
     "contingency": """WITH t AS (SELECT event_type, (props->>'$.k')::INT % 7 AS k FROM events),
-        u AS (SELECT * FROM t WHERE NOT (event_type = 'click' AND k = 3)),
+        u AS (SELECT event_type, CASE WHEN event_type = 'click' AND k = 3 THEN 4 ELSE k END AS k FROM t),
         a AS (SELECT DISTINCT event_type FROM u), b AS (SELECT DISTINCT k FROM u)
         SELECT a.event_type AS row, b.k::VARCHAR AS "column", count(u.k) AS count
         FROM a CROSS JOIN b LEFT JOIN u ON u.event_type = a.event_type AND u.k = b.k GROUP BY 1, 2""",

@@ -103,8 +103,10 @@ def charsets(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """
     lines = raw_lines(spark, paths)
     mark = F.hex(F.substring("bytes", 1, 2))
+    # UTF-16 of two lines or more has a zero byte at each line end; other text with such a line start has none
+    wide = F.bool_or(F.contains(F.col("bytes"), F.lit(b"\x00"))) | (F.count(F.lit(1)) == 1)
     first = lines.groupBy("path").agg(
-        F.bool_or(mark == "FFFE").alias("little"), F.bool_or(mark == "FEFF").alias("big"), F.bool_and(F.is_valid_utf8("line")).alias("utf8")
+        (F.bool_or(mark == "FFFE") & wide).alias("little"), (F.bool_or(mark == "FEFF") & wide).alias("big"), F.bool_and(F.is_valid_utf8("line")).alias("utf8")
     )
     known = first.withColumn(
         "charset", F.when(F.col("little"), "UTF-16LE").when(F.col("big"), "UTF-16BE").when(F.col("utf8"), "UTF-8")

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import itertools
+from statistics import NormalDist
 
 import numpy as np
 import pytest
@@ -32,6 +33,34 @@ def test_shapiro_on_a_published_sample(spark):
     assert row["p_value"] == pytest.approx(0.0067, abs=3e-4)
 
 
+@pytest.mark.parametrize("n", [3, 5, 40, 6000])
+def test_shapiro_ranks_equal_sorted_values(spark, monkeypatch, n):
+    """Rows in one place, sorted; half of the values are one and the same, ranks come in small pieces."""
+    rng = np.random.default_rng(n)
+    y = np.sort(np.round(np.where(np.arange(n) % 2, rng.normal(size=n), 0.5), 3))
+    m = np.array([NormalDist().inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
+    a, u = m / np.sqrt(m @ m), 1 / np.sqrt(n)
+    last = a[-1] + np.polyval((-2.706056, 4.434685, -2.071190, -0.147981, 0.221157, 0.0), u)
+    second = a[-2] + np.polyval((-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, 0.0), u)
+    if n == 3:
+        a = np.array([-1, 0, 1]) * np.sqrt(0.5)
+    elif n <= 5:
+        a = np.r_[-last, m[1:-1] / np.sqrt((m @ m - 2 * m[-1] ** 2) / (1 - 2 * last**2)), last]
+    else:
+        scale = np.sqrt((m @ m - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * last**2 - 2 * second**2))
+        a = np.r_[-last, -second, m[2:-2] / scale, second, last]
+    monkeypatch.setattr(anova, "RANKS_AT_ONCE", 700)
+    row = anova.shapiro_wilk(spark.createDataFrame([(float(v),) for v in y], "y double"), "y").first()
+    assert row["samples"] == n and row["extrapolated"] == (n > 5000) and 0 <= row["p_value"] <= 1
+    assert row["statistic"] == pytest.approx((a @ y) ** 2 / ((y - y.mean()) ** 2).sum(), rel=1e-9)
+
+
+def test_shapiro_without_a_spread(spark):
+    frame = spark.createDataFrame([(1.0,)] * 4, "y double")
+    assert tuple(anova.shapiro_wilk(frame, "y").first()) == (4, 1.0, 1.0, False)
+    assert anova.shapiro_wilk(frame.limit(2), "y").count() == 0
+
+
 def test_one_way_and_tukey(spark):
     result = registry.run(fixtures.one_factor(spark), "one_way_anova", key=[], target="score", factors=["treatment"])
     metrics = {r["metric"]: r["value"] for r in result.metrics.collect()}
