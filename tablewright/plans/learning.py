@@ -83,7 +83,6 @@ def _metrics(algorithm, target, parameters=None, rounds=None):
     return query
 
 
-_FEW_TREES = {"n_estimators": 20, "max_depth": 5}
 _FEW_ROUNDS = {"n_estimators": 10, "max_depth": 4}
 
 
@@ -212,16 +211,16 @@ QUERIES = {
     "embedding_preview": embedding_preview,
     "huber_regressor": _metrics("huber_regressor", "y"),
     "quantile_regressor": _metrics("quantile_regressor", "y", {"quantile": 0.5, "alpha": 0.01}),
-    "random_forest_regressor": _metrics("random_forest_regressor", "y", _FEW_TREES),
-    "extra_trees_regressor": _metrics("extra_trees_regressor", "y", _FEW_TREES),
-    "bagging_regressor": _metrics("bagging_regressor", "y", rounds=15),
+    "random_forest_regressor": _metrics("random_forest_regressor", "y"),
+    "extra_trees_regressor": _metrics("extra_trees_regressor", "y"),
+    "bagging_regressor": _metrics("bagging_regressor", "y"),
     "gradient_boosting_regressor": _metrics("gradient_boosting_regressor", "y", rounds=10),
     "hist_gradient_boosting_regressor": _metrics("hist_gradient_boosting_regressor", "y", rounds=10),
     "xgboost_regressor": _metrics("xgboost_regressor", "y", _FEW_ROUNDS),
     "lightgbm_regressor": _metrics("lightgbm_regressor", "y", rounds=10),
     "svm_regressor": _metrics("svm_regressor", "y"),
-    "random_forest_classifier": _metrics("random_forest_classifier", "level", _FEW_TREES),
-    "extra_trees_classifier": _metrics("extra_trees_classifier", "level", _FEW_TREES),
+    "random_forest_classifier": _metrics("random_forest_classifier", "level"),
+    "extra_trees_classifier": _metrics("extra_trees_classifier", "level"),
     "gradient_boosting_classifier": _metrics("gradient_boosting_classifier", "half", rounds=10),
     "hist_gradient_boosting_classifier": _metrics("hist_gradient_boosting_classifier", "half", rounds=10),
     "xgboost_classifier": _metrics("xgboost_classifier", "level", {"n_estimators": 10, "max_depth": 3}),
