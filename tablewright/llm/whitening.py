@@ -238,7 +238,7 @@ def spectra(vectors: DataFrame, d: int, block_rows: int = BLOCK_ROWS) -> DataFra
 def combined(parts: DataFrame, fan_in: int = FAN_IN) -> Spectrum:
     """One spectrum of all, ``fan_in`` at a time; only the last one reaches the driver."""
 
-    def merge(key, table: pa.Table) -> pa.Table:
+    def merge(key, table):
         rows = sorted(table.to_pylist(), key=lambda r: r["part"])
         found = _spectrum(rows[0])
         for row in rows[1:]:

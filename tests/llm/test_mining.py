@@ -57,6 +57,15 @@ def test_spectra_of_parts_combine():
     assert np.abs(found.values - want).max() < 1e-12 * want.max()
 
 
+def test_spectra_combine_in_spark(spark):
+    """Many partitions, some empty, over several rounds of combining."""
+    rows = np.random.default_rng(3).integers(-500, 500, (90, 6)) + 1_000_000
+    frame = spark.createDataFrame([(r.tolist(),) for r in rows], "x array<long>").repartition(40)
+    found = whitening.combined(whitening.spectra(frame, 6), fan_in=3)
+    want = np.linalg.eigvalsh(np.cov(rows.T.astype(float), bias=True) * 90)
+    assert found.n == 90 and np.abs(found.values - want).max() < 1e-12 * want.max()
+
+
 def plain_whitening(vectors, components=16):
     x = np.array([[int(np.floor(64 * float(c))) + 1_000_000 for c in v] for v in vectors])
     distinct = np.unique(x, axis=0)
