@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
@@ -124,55 +125,45 @@ class _Block:
     def counts(self, lang: str, passes: list[Filters]) -> Iterator[pa.RecordBatch]:
         """Rows of COUNTS: words in the first pass only, pairs and triples by the last pass's filters."""
         ids = np.concatenate(self.parts)
-        names = list(self.numbers)
+        words = list(self.numbers)
+        names = pa.array(words, pa.binary())
         now, first_pass = passes[-1], len(passes) == 1
-        hashes = word_hashes(lang.encode("utf-8", "surrogatepass"), names)
+        hashes = word_hashes(lang.encode("utf-8", "surrogatepass"), words)
         if first_pass:
-            seen = np.bincount(ids, minlength=len(names))
+            seen = np.bincount(ids, minlength=len(words))
             seen[:2] = 0
             used = np.flatnonzero(seen)
-            yield _rows(lang, 0, [""], [int(seen.sum())])
-            yield _rows(lang, 1, [names[i] for i in used.tolist()], seen[used])
-        if (now.words is None and now.pairs is None) or len(ids) < 2:
-            return
-        n = len(names)
-        pair_at = np.flatnonzero((ids[:-1] != BREAK) & (ids[1:] != BREAK))
-        codes, pair_of, seen = np.unique(ids[pair_at] * n + ids[pair_at + 1], return_inverse=True, return_counts=True)
-        left, right = codes // n, codes % n
+            yield _rows(lang, 0, [pa.array([b""])], [int(seen.sum())])
+            yield _rows(lang, 1, [names.take(pa.array(used))], seen[used])
+        n = len(words)
+        left, right = ids[:-1], ids[1:]
+        pair = (left != BREAK) & (right != BREAK)
         if now.words is not None:
-            wanted = np.ones(len(codes), bool)
-            for k, filters in enumerate(passes):
-                if filters.words is not None:
-                    inside = filters.words.value.has(hashes)
-                    both = inside[left] & inside[right]
-                    wanted &= both if k == len(passes) - 1 else ~both
-            chosen = np.flatnonzero(wanted)
-            yield _rows(lang, 2, [names[a] + b" " + names[b] for a, b in zip(left[chosen].tolist(), right[chosen].tolist())], seen[chosen])
+            inside = [f.words.value.has(hashes) for f in passes if f.words is not None]
+            wanted = pair & inside[-1][left] & inside[-1][right]
+            for earlier in inside[:-1]:
+                wanted &= ~(earlier[left] & earlier[right])
+            codes, seen = np.unique(left[wanted] * n + right[wanted], return_counts=True)
+            yield _rows(lang, 2, [names.take(pa.array(part)) for part in (codes // n, codes % n)], seen)
         if now.pairs is not None:
             keys = pair_hashes(hashes[left], hashes[right])
-            where = np.full(len(ids), -1)
-            where[pair_at] = pair_of
-            a, b = where[:-1], where[1:]
-            both_there = (a >= 0) & (b >= 0)
-            a, b = a[both_there], b[both_there]
-            wanted = np.ones(len(a), bool)
-            for k, filters in enumerate(passes):
-                if filters.pairs is not None:
-                    inside = filters.pairs.value.has(keys)
-                    both = inside[a] & inside[b]
-                    wanted &= both if k == len(passes) - 1 else ~both
-            codes, seen = np.unique(a[wanted] * n + right[b[wanted]], return_counts=True)
-            first, third = codes // n, codes % n
-            words = zip(left[first].tolist(), right[first].tolist(), third.tolist())
-            yield _rows(lang, 3, [names[a] + b" " + names[b] + b" " + names[c] for a, b, c in words], seen)
-
-
-def _rows(lang: str, size: int, phrases: list, totals) -> pa.RecordBatch:
+            inside = [pair & f.pairs.value.has(keys) for f in passes if f.pairs is not None]
+            wanted = inside[-1][:-1] & inside[-1][1:]
+            for earlier in inside[:-1]:
+                wanted &= ~(earlier[:-1] & earlier[1:])
+            at = np.flatnonzero(wanted)
+            firsts, number = np.unique(left[at] * n + right[at], return_inverse=True)
+            codes, seen = np.unique(number * n + right[at + 1], return_counts=True)
+            start = firsts[codes // n]
+            yield _rows(lang, 3, [names.take(pa.array(part)) for part in (start // n, start % n, codes % n)], seen)
+
+
+def _rows(lang: str, size: int, words: list[pa.Array], totals) -> pa.RecordBatch:
+    """Rows of COUNTS; the phrases are the words of the arrays side by side, space-joined."""
+    phrases = words[0] if len(words) == 1 else pc.binary_join_element_wise(*words, pa.scalar(b" ", pa.binary()))
     n = len(phrases)
-    column = pa.array([p if isinstance(p, bytes) else p.encode() for p in phrases], pa.binary()).cast(pa.string())
-    return pa.RecordBatch.from_arrays(
-        [pa.array([lang] * n, pa.string()), pa.array([size] * n, pa.int32()), column, pa.array(totals, pa.int64())], ["lang", "size", "phrase", "total"]
-    )
+    columns = [pa.repeat(lang, n), pa.repeat(pa.scalar(size, pa.int32()), n), phrases.cast(pa.string()), pa.array(totals, pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, ["lang", "size", "phrase", "total"])
 
 
 def counted(docs: DataFrame, passes: list[Filters], block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -197,7 +188,9 @@ def counted(docs: DataFrame, passes: list[Filters], block_words: int = BLOCK_WOR
         for name, block in blocks.items():
             yield from block.counts(name, passes)
 
-    return docs.mapInArrow(run, COUNTS).groupBy("lang", "size", "phrase").agg(F.sum("total").alias("total"))
+    # A block has each phrase once, so the rows are dealt as they are: adding them up before would find little.
+    key = ["lang", "size", "phrase"]
+    return docs.mapInArrow(run, COUNTS).repartition(*key).groupBy(*key).agg(F.sum("total").alias("total"))
 
 
 def _filters(words: DataFrame | None, pairs: DataFrame | None, most_bits: int) -> Filters:
@@ -264,7 +257,7 @@ def _part_at(start: Column, length: Column) -> Column:
 
 
 def scored(known: DataFrame) -> DataFrame:
-    """(lang, size, phrase, a, l, r, n, score) of all phrases of two or three words, by their lowest-scoring cut."""
+    """(lang, size, phrase, a, l, r, score) of all phrases of two or three words, by their lowest-scoring cut."""
     phrases = known.filter(F.col("size") >= 2)
     cuts = phrases.select(
         "lang", "size", "phrase", F.col("total").alias("a"), F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("cut")
@@ -272,13 +265,12 @@ def scored(known: DataFrame) -> DataFrame:
     parts = known.filter(F.col("size").between(1, MOST_WORDS - 1))
     heads = parts.select("lang", F.col("phrase").alias("head"), F.col("total").alias("l"))
     tails = parts.select("lang", F.col("phrase").alias("tail"), F.col("total").alias("r"))
-    sizes = known.filter(F.col("size") == 0).select("lang", F.col("total").alias("n"))
     exact = lambda name: F.col(name).cast("decimal(16,0)")  # noqa: E731 - products stay within 38 digits
-    joined = cuts.join(heads, ["lang", "head"]).join(tails, ["lang", "tail"]).join(sizes, "lang")
+    joined = cuts.join(heads, ["lang", "head"]).join(tails, ["lang", "tail"])
     joined = joined.withColumns({"aa": exact("a") * exact("a") * F.lit(UNIT).cast("decimal(7,0)"), "lr": exact("l") * exact("r")})
     joined = joined.withColumn("score", F.expr("aa div lr"))
-    lowest = F.min(F.struct("score", "cut", "a", "l", "r", "n")).alias("best")
-    return joined.groupBy("lang", "size", "phrase").agg(lowest).select("lang", "size", "phrase", "best.a", "best.l", "best.r", "best.n", "best.score")
+    lowest = F.min(F.struct("score", "cut", "a", "l", "r")).alias("best")
+    return joined.groupBy("lang", "size", "phrase").agg(lowest).select("lang", "size", "phrase", "best.a", "best.l", "best.r", "best.score")
 
 
 def collocations(
@@ -304,6 +296,7 @@ def collocations(
     part = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(RANK_PARTS))).orderBy(*order)
     first = kept.withColumn("place", F.row_number().over(part)).filter(F.col("place") <= top)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
-    return first.withColumn("rank", rank).filter(F.col("rank") <= top).select(
+    sizes = known.filter(F.col("size") == 0).select("lang", F.col("total").alias("n"))
+    return first.withColumn("rank", rank).filter(F.col("rank") <= top).join(sizes, "lang").select(
         "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score"
     )
