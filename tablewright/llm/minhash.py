@@ -4,9 +4,12 @@ Documents with equal shingle sets are one node. Each node has a MinHash signatur
 orders; an order's first two values name a region. In each order the neighbours with the longest common prefix
 stand side by side and are the first candidates: pairs whose signatures agree enough are confirmed on the full
 sets, each node's best first, and linked. What is left are regions that still hold more than one class. A small
-one compares all its members of different classes by signature. In a dense one the forest grows deeper: it
-branches into several sub-orders by further signature values, again and again until its regions are small, so
-that the depth follows the density. Every surviving pair is confirmed on the full sets.
+one compares its members of different classes by signature. In a dense one the forest grows deeper: it branches
+into several sub-orders by further signature values, again and again until its regions are small, so that the depth
+follows the density. Members that may be linked form clumps, of which only a spanning forest is written down; a
+clump's full sets then meet in cells of bounded size, where all pairs of different classes are confirmed at once by
+a product of membership matrices. So no step writes a row for each pair of a group. A clump too large for that is
+confirmed in its regions.
 
 A pair of similarity 0.8 shares a region of an order with chance 0.64, and comes together in some sub-order of a
 dense region with chance 0.92 or more at any depth (four sub-orders of three values each), so 20 orders miss it
@@ -36,11 +39,19 @@ VALUES = 160
 # Signature values that must agree: at similarity 0.8 fewer agree with a chance of about 10^-9.
 LEAST_AGREEING = 96
 REGION_MEMBERS = 512
+# A region of up to so many blocks of that size is searched by a grid of blocks, beyond that it grows deeper.
+GRID_SIDE = 4
 BRANCHES = 4
 BRANCH_VALUES = 3
 MOST_LEVELS = 8
-# Rounds in which a node confirms only its best candidate, before all others are confirmed.
+# Rounds in which each class confirms its best candidate, before what is left is confirmed.
 BEST_ROUNDS = 2
+# Members and shingles in a block of a clump, blocks of a clump beyond which it is confirmed in its regions, and
+# columns of a membership matrix at once.
+BLOCK_MEMBERS = 512
+BLOCK_SHINGLES = 1_000_000
+MOST_BLOCKS = 8
+MATRIX_COLUMNS = 4096
 RUN_ROWS = 50_000
 SEED = 42
 
@@ -207,30 +218,8 @@ def mixed_regions(members: DataFrame) -> DataFrame:
     return sized.filter("low < high").select("key", "members")
 
 
-def _all_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs of different classes that agree enough, within each (key, cell) of sorted batches."""
-
-    def found(frame: pd.DataFrame) -> pd.DataFrame:
-        fresh = (frame["key"].diff() != 0) | (frame["cell"].diff() != 0)
-        region, node, label = fresh.cumsum().to_numpy(), frame["node"].to_numpy(), frame["class"].to_numpy()
-        sketch = np.frombuffer(b"".join(frame["sketch"]), np.uint8).reshape(-1, VALUES)
-        lefts, rights = [], []
-        at, step = np.arange(len(frame)), 1
-        while True:
-            at = at[at + step < len(frame)]
-            at = at[region[at] == region[at + step]]
-            if not len(at):
-                break
-            apart = at[label[at] != label[at + step]]
-            for i in range(0, len(apart), 65536):
-                some = apart[i : i + 65536]
-                near = some[(sketch[some] == sketch[some + step]).sum(axis=1) >= LEAST_AGREEING]
-                lefts.append(near), rights.append(near + step)
-            step += 1
-        a = node[np.concatenate(lefts)] if lefts else np.zeros(0, np.int64)
-        b = node[np.concatenate(rights)] if rights else np.zeros(0, np.int64)
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
-
+def _runs(batches: Iterator[pd.DataFrame], found) -> Iterator[pd.DataFrame]:
+    """``found`` of frames that hold whole (key, cell) groups of sorted batches."""
     held: list[pd.DataFrame] = []
     rows = 0
     for batch in batches:
@@ -248,33 +237,128 @@ def _all_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield found(pd.concat(held, ignore_index=True))
 
 
-def remaining_pairs(members: DataFrame, region_members: int = REGION_MEMBERS, most_levels: int = MOST_LEVELS) -> DataFrame:
-    """(a, b) of different classes that share a region and agree enough, from (key, tree, node, class, sketch) rows.
+def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Unions the labels of the pairs (a, b) of places in ``label``, in place; true for the pairs that joined two."""
+    kept = np.zeros(len(a), bool)
+    while True:
+        apart = np.flatnonzero(label[a] != label[b])
+        if not len(apart):
+            return kept
+        # One pair for each larger label: all of them join at once, each to a smaller label.
+        high, low = np.maximum(label[a[apart]], label[b[apart]]), np.minimum(label[a[apart]], label[b[apart]])
+        high, first = np.unique(high, return_index=True)
+        kept[apart[first]] = True
+        target = np.arange(int(label.max()) + 1)
+        target[high] = low[first]
+        while (target[target] != target).any():
+            target = target[target]
+        label[:] = target[label]
 
-    Dense regions are grown deeper; one that stays dense over ``most_levels`` is searched whole by a grid of blocks.
+
+def _signature_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A spanning forest (a, b) of the pairs of different classes that agree enough, within each (key, cell)."""
+
+    def found(frame: pd.DataFrame) -> pd.DataFrame:
+        fresh = (frame["key"].diff() != 0) | (frame["cell"].diff() != 0)
+        region, node, group = fresh.cumsum().to_numpy(), frame["node"].to_numpy(), frame["class"].to_numpy()
+        sketch = np.frombuffer(b"".join(frame["sketch"]), np.uint8).reshape(-1, VALUES)
+        lefts, rights = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        label = np.arange(len(frame))
+        at, step = np.arange(len(frame)), 1
+        while True:
+            at = at[at + step < len(frame)]
+            at = at[region[at] == region[at + step]]
+            if not len(at):
+                break
+            open_ = at[(group[at] != group[at + step]) & (label[at] != label[at + step])]
+            for i in range(0, len(open_), 65536):
+                some = open_[i : i + 65536]
+                near = some[(sketch[some] == sketch[some + step]).sum(axis=1) >= LEAST_AGREEING]
+                near = near[_joined(label, near, near + step)]
+                lefts.append(near), rights.append(near + step)
+            step += 1
+        return pd.DataFrame({"a": node[np.concatenate(lefts)], "b": node[np.concatenate(rights)]})
+
+    return _runs(batches, found)
+
+
+def _set_links(percent: int):
+    """A spanning forest (a, b) of the linked pairs of different classes within each (key, cell), by the full sets."""
+
+    def cell(node: np.ndarray, group: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        sizes = np.array([len(x) for x in sets])
+        values, place, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        column = np.cumsum(seen > 1) - 1  # shingles of one set only are in no intersection
+        common = (seen > 1)[place]
+        column, owner = column[place][common], owner[common]
+        order = np.argsort(column, kind="stable")
+        column, owner = column[order], owner[order]
+        both = np.zeros((len(sets), len(sets)), np.float32)
+        for start in range(0, int(column[-1]) + 1 if len(column) else 0, MATRIX_COLUMNS):
+            lo, hi = np.searchsorted(column, [start, start + MATRIX_COLUMNS])
+            matrix = np.zeros((len(sets), MATRIX_COLUMNS), np.float32)
+            matrix[owner[lo:hi], column[lo:hi] - start] = 1
+            both += matrix @ matrix.T  # whole numbers far below 2^24 are exact
+        both = both.astype(np.int64)
+        linked = 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
+        a, b = np.nonzero(np.triu(linked & (group[:, None] != group[None, :]), 1))
+        keep = _joined(np.unique(group, return_inverse=True)[1].astype(np.int64), a, b)
+        return node[a[keep]], node[b[keep]]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list = []
+
+        def done() -> pd.DataFrame:
+            rows = {node: (group, np.frombuffer(x, np.uint64)) for node, group, x in held}
+            nodes = np.array(list(rows), np.int64)
+            a, b = cell(nodes, np.array([rows[n][0] for n in nodes], np.int64), [rows[n][1] for n in nodes])
+            return pd.DataFrame({"a": a, "b": b})
+
+        last = None
+        for batch in batches:
+            for row in zip(batch["key"], batch["cell"], batch["node"], batch["class"], batch["shingles"]):
+                if row[:2] != last and held:
+                    yield done()
+                    held = []
+                last = row[:2]
+                held.append(row[2:])
+        if held:
+            yield done()
+
+    return run
+
+
+def _in_cells(rows: DataFrame, side, columns: list[str]) -> DataFrame:
+    """Rows (key, node, ...) dealt to the cells of a grid of ``side`` blocks by hash, sorted for a streaming pass."""
+    grid = rows.withColumn("side", side.cast("long")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("side")))
+    grid = grid.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("side") - 1)))
+    cell = F.least("own", "other") * F.col("side") + F.greatest("own", "other")
+    dealt = grid.withColumn("cell", cell).select("key", "cell", *columns)
+    return dealt.repartition("key", "cell").sortWithinPartitions("key", "cell")
+
+
+def small_regions(
+    members: DataFrame, region_members: int = REGION_MEMBERS, grid_side: int = GRID_SIDE, most_levels: int = MOST_LEVELS
+) -> DataFrame:
+    """(key, members, node, class, sketch) of regions with more than one class, from (key, tree, node, class, sketch) rows.
+
+    Dense regions are grown deeper; one that stays dense over ``most_levels`` is returned as it is.
     """
     small = []
     for level in range(most_levels + 1):
         regions = stored(mixed_regions(members), "minhash-regions")
-        here = members.join(regions, "key")
-        small.append(here.filter(F.col("members") <= region_members).withColumn("cell", F.lit(0).cast("long")))
-        if regions.filter(F.col("members") > region_members).isEmpty():
-            break
-        hot = here.filter(F.col("members") > region_members)
-        if level == most_levels:
-            side = F.ceil(F.col("members") / region_members)
-            own = F.pmod(F.xxhash64("node"), F.col("side"))
-            grid = hot.withColumn("side", side).withColumn("own", own)
-            grid = grid.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("side") - 1)))
-            cell = F.least("own", "other") * F.col("side") + F.greatest("own", "other")
-            small.append(grid.withColumn("cell", cell).drop("side", "own", "other"))
+        here = members.join(regions, "key").select("key", "members", "tree", "node", "class", "sketch")
+        dense = F.col("members") > region_members * grid_side
+        if level == most_levels or regions.filter(dense).isEmpty():
+            small.append(here)
             break
-        members = stored(deeper(hot.drop("members")), "minhash-deeper")
-    dealt = small[0]
+        small.append(here.filter(~dense))
+        members = stored(deeper(here.filter(dense).drop("members")), "minhash-deeper")
+    found = small[0]
     for part in small[1:]:
-        dealt = dealt.unionByName(part.select(*dealt.columns))
-    dealt = dealt.select("key", "cell", "node", "class", "sketch").repartition("key", "cell").sortWithinPartitions("key", "cell")
-    return dealt.mapInPandas(_all_pairs, "a long, b long").distinct()
+        found = found.unionByName(part)
+    return found.drop("tree")
 
 
 # ---- classes -------------------------------------------------------------------------------------
@@ -293,8 +377,11 @@ def _best(pairs: DataFrame) -> DataFrame:
     return sides.groupBy("side").agg(order).select("best.a", "best.b").distinct()
 
 
-def links(docs: DataFrame, nodes: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT, region_members: int = REGION_MEMBERS) -> DataFrame:
-    """(node, component) of all nodes that are linked with another one; ``nodes`` has node, set, code, keys, sketch."""
+def links(
+    docs: DataFrame, nodes: DataFrame, shingle_words: int, percent: int, region_members: int, block_members: int
+) -> DataFrame:
+    """(node, component) of all nodes that are linked with another one; ``nodes`` has node, set, code, n_shingles, keys
+    and sketch."""
     placed = nodes.select("node", F.posexplode("keys").alias("tree", "key"))
     shared = stored(placed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "minhash-shared")
     placed = stored(placed.join(shared, "key"), "minhash-placed")
@@ -306,36 +393,54 @@ def links(docs: DataFrame, nodes: DataFrame, shingle_words: int = SHINGLE_WORDS,
         wanted = wanted if without is None else wanted.join(without.select("node"), "node", "left_anti")
         return stored(full_sets(docs, nodes.join(wanted, "node").select("node", "set", "code"), shingle_words), "minhash-sets")
 
+    def classes_of(linked: DataFrame) -> DataFrame:
+        return stored(connected_components(linked), "minhash-classes")
+
+    def fresh(pairs: DataFrame, before: DataFrame | None) -> DataFrame:
+        pairs = stored(pairs, "minhash-checked")
+        return pairs if before is None else before.unionByName(pairs)
+
     sets = sets_of(pending)
     checked = None
     classes = nodes.sparkSession.createDataFrame([], "node long, component long")
 
-    def check(pairs: DataFrame) -> None:
-        nonlocal checked, classes
-        fresh = stored(confirmed(pairs, sets, percent), "minhash-checked")
-        checked = fresh if checked is None else checked.unionByName(fresh)
-        classes = stored(connected_components(checked.filter("linked").select("a", "b")), "minhash-classes")
-
-    for attempt in range(BEST_ROUNDS + 1):
+    for _ in range(BEST_ROUNDS):
         open_pairs = pending if checked is None else pending.join(checked.select("a", "b"), ["a", "b"], "left_anti")
         open_pairs = _with_class(_with_class(open_pairs, classes, "a", "ca"), classes, "b", "cb").filter("ca <> cb")
-        chosen = stored(_best(open_pairs) if attempt < BEST_ROUNDS else open_pairs.select("a", "b"), "minhash-chosen")
+        chosen = stored(_best(open_pairs), "minhash-chosen")
         if chosen.isEmpty():
             break
-        check(chosen)
+        checked = fresh(confirmed(chosen, sets, percent), checked)
+        classes = classes_of(checked.filter("linked").select("a", "b"))
 
     members = _with_class(placed.join(sketches, "node").withColumn("tree", F.col("tree").cast("long")), classes, "node", "class")
-    rest = remaining_pairs(members, region_members)
-    if checked is not None:
-        rest = rest.join(checked.select("a", "b"), ["a", "b"], "left_anti")
-    rest = stored(rest, "minhash-rest")
-    if not rest.isEmpty():
-        sets = sets.unionByName(sets_of(rest, sets))
-        check(rest)
-    return classes
-
-
-def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT, region_members: int = REGION_MEMBERS) -> DataFrame:
+    regions = stored(small_regions(members, region_members), "minhash-small")
+    near = _in_cells(regions, F.ceil(F.col("members") / region_members), ["node", "class", "sketch"]).mapInPandas(_signature_links, "a long, b long")
+    near = stored(near.distinct(), "minhash-near")
+    if near.isEmpty():
+        return classes
+    sets = sets.unionByName(sets_of(near, sets))
+    clumps = connected_components(near).withColumnRenamed("component", "key")
+    clumps = clumps.join(nodes.select("node", "n_shingles"), "node")
+    clumps = stored(_with_class(clumps, classes, "node", "class"), "minhash-clumps")
+    sizes = clumps.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("shingles"))
+    side = F.greatest(F.ceil(F.col("members") / block_members), F.ceil(F.col("shingles") / BLOCK_SHINGLES))
+    sized = clumps.join(stored(sizes.select("key", side.alias("blocks")), "minhash-clump-sizes"), "key")
+    columns = ["node", "class", "shingles"]
+    links_of = _set_links(percent)
+    fits = sized.filter(F.col("blocks") <= MOST_BLOCKS).join(sets, "node")
+    found = _in_cells(fits, F.col("blocks"), columns).mapInPandas(links_of, "a long, b long")
+    large = stored(sized.filter(F.col("blocks") > MOST_BLOCKS).select("node"), "minhash-large")
+    if not large.isEmpty():
+        there = regions.join(large, "node", "left_semi").join(sets, "node")
+        found = found.unionByName(_in_cells(there, F.ceil(F.col("members") / block_members), columns).mapInPandas(links_of, "a long, b long"))
+    linked = found if checked is None else found.unionByName(checked.filter("linked").select("a", "b"))
+    return classes_of(linked)
+
+
+def near_duplicates(
+    docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT, region_members: int = REGION_MEMBERS, block_members: int = BLOCK_MEMBERS
+) -> DataFrame:
     """doc_id, n_shingles, component_id and kept, one row per row of ``docs``.
 
     component_id is the smallest doc_id reachable over links of ``percent`` or more shared shingles of the union.
@@ -348,11 +453,11 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent
     nodes = (
         found.filter(F.col("n_shingles") > 0)
         .groupBy("set")
-        .agg(F.min("doc_id").alias("rep"), F.min("code").alias("code"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
+        .agg(F.min("doc_id").alias("rep"), F.min("code").alias("code"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
         .withColumn("node", F.monotonically_increasing_id())
     )
     nodes = stored(nodes, "minhash-nodes")
-    classes = links(docs, nodes, shingle_words, percent, region_members)
+    classes = links(docs, nodes, shingle_words, percent, region_members, block_members)
     labelled = _with_class(nodes.select("node", "set", "rep"), classes, "node", "class")
     smallest = labelled.groupBy("class").agg(F.min("rep").alias("component_id"))
     by_set = stored(labelled.join(smallest, "class").select(F.col("set").alias("__set"), "component_id"), "minhash-sets-classes")

@@ -218,21 +218,25 @@ def near_rows():
     return rows
 
 
-@pytest.mark.parametrize("members", [minhash.REGION_MEMBERS, 4])
-def test_minhash_classes_equal_plain(spark, members):
-    """Small regions force the forest to grow deeper, and its last resort, the grid."""
+@pytest.mark.parametrize(("members", "block"), [(minhash.REGION_MEMBERS, minhash.BLOCK_MEMBERS), (2, 1), (4, 6)])
+def test_minhash_classes_equal_plain(spark, members, block):
+    """Small regions force the forest to grow deeper, small blocks force clumps into grids and back into regions."""
     rows = [*near_rows(), *edge_rows()]
-    got = minhash.near_duplicates(doc_frame(spark, rows), region_members=members).collect()
+    got = minhash.near_duplicates(doc_frame(spark, rows), region_members=members, block_members=block).collect()
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter(plain_classes(rows))
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
-def test_grid_of_a_dense_region_compares_all_pairs(spark):
-    sketch = bytes(range(160))
-    rows = [(7, 0, i, i, bytearray(sketch)) for i in range(23)]
+def test_dense_regions_stay_whole(spark):
+    """A region that no further value splits is returned after the last level, and its grid joins all its members."""
+    rows = [(7, 0, i, i, bytearray(range(160))) for i in range(23)]
     frame = spark.createDataFrame(rows, "key long, tree long, node long, class long, sketch binary")
-    got = minhash.remaining_pairs(frame, region_members=5, most_levels=1).collect()
-    assert sorted((r.a, r.b) for r in got) == [(i, j) for i in range(23) for j in range(i + 1, 23)]
+    regions = minhash.small_regions(frame, region_members=5, grid_side=1, most_levels=2)
+    cells = minhash._in_cells(regions, minhash.F.ceil(minhash.F.col("members") / 5), ["node", "class", "sketch"])
+    pairs = cells.mapInPandas(minhash._signature_links, "a long, b long").collect()
+    label = np.arange(23)
+    minhash._joined(label, np.array([r.a for r in pairs]), np.array([r.b for r in pairs]))
+    assert (label == 0).all()
 
 
 def test_forest_misses_few_pairs():
