@@ -1,10 +1,13 @@
 """Personal data: base patterns, and further identifiers found by bootstrapped contexts.
 
-Entities that the base patterns find are seeds. The two words in front of them are lexical patterns; number-like
-strings elsewhere are candidate instances. Patterns and instances form a graph that is scored in rounds: a
-pattern's score is the mean score of its distinct instances, an instance's the best score of its patterns, seeds
-stay at one. Patterns of high score with enough different seeds turn the candidates behind them into findings.
-Everything is DataFrame expressions; scores are whole millionths, so they do not depend on the order of sums.
+Entities that the base patterns find are seeds. What stands around them are lexical patterns: the two words in
+front, the two words behind, and a label, that is one word in front which ends in a separator. Strings elsewhere
+of certain shapes (numbers, numbers with a letter prefix, handles, spelt-out mail addresses) are candidate
+instances. Patterns and instances form a graph that is scored in rounds until the trusted patterns stay the same:
+a pattern's score is the mean score of its distinct instances, an instance's the chance that at least one of its
+trusted patterns is right, seeds stay at one. Patterns of high score with enough different seeds turn the
+candidates beside them into findings. Everything is DataFrame expressions; scores are whole millionths, and
+logarithms are rounded before they are added up, so they do not depend on the order of sums.
 """
 
 from __future__ import annotations
@@ -12,12 +15,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPAN, count_of, hex_sha256, in_order, pattern_spans, span_text, stored
+from .common import SPAN, blocks_of, count_of, hex_sha256, in_order, once, pattern_spans, replaced, span_text, stored
 
 KINDS = ("email", "ip", "card", "phone")
 FOUND = "context"
 ONE = 1_000_000
-ROUNDS = 3
+MOST_ROUNDS = 8
 # A pattern discovers identifiers from this mean score and this many different seeds on.
 CONFIDENCE = 800_000
 LEAST_SEEDS = 3
@@ -25,11 +28,15 @@ CONTEXT_CHARS = 48
 
 # Equal in matches to the base patterns, written so that long runs are not tried again from each of their places:
 # a match starts at the start of a run or where the last match ended, and runs give nothing back.
-EMAIL = "(?:(?<![A-Za-z0-9._%+-])|\\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+"
+EMAIL = "(?:(?<![A-Za-z0-9._%+-])|\\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)++"
 IP = "(?<![0-9])[0-9]++(?:\\.[0-9]+)(?:\\.[0-9]+)(?:\\.[0-9]+)"
-CARD = "[0-9](?:[\\x20-]?[0-9]){13,}"
+CARD = "[0-9](?:[\\x20-]?[0-9]){13,}+"
 PHONE = "\\+[0-9][\\x20().0-9-]+[0-9]"
-NUMBER = "[0-9](?:[\\x20.()-]?[0-9]){5,}"
+# Candidate shapes: numbers of six digits or more, digits behind a letter prefix, handles, mail addresses spelt out.
+CANDIDATE = (
+    "(?<![0-9A-Za-z])(?:[A-Za-z]{1,4}[-_/]?+[0-9]{4,}+|[0-9](?:[\\x20.()-]?[0-9]){5,}+|@[A-Za-z0-9_]{3,}+"
+    "|[A-Za-z0-9._+-]{2,40}+\\x20?[(\\[{](?:at|AT)[)\\]}]\\x20?[A-Za-z0-9.-]{2,}+)"
+)
 
 
 def _digits(text: Column) -> Column:
@@ -57,11 +64,19 @@ def _phone_digits(match: Column) -> Column:
     return F.length(_digits(match)).between(10, 15)
 
 
-def _context(gap: Column) -> Column:
-    """The last two words in front, lower-case, without digits; null without a letter."""
-    tail = F.regexp_extract(F.substring(gap, -CONTEXT_CHARS, CONTEXT_CHARS), "((?:[^\\s]+\\s+)?[^\\s]+)\\s*$", 1)
-    words = F.regexp_replace(F.regexp_replace(F.lower(tail), "[0-9]", ""), "\\s+", " ")
-    return F.when(words.rlike("\\p{L}"), words)
+def _context(gap: Column, behind: Column) -> Column:
+    """The patterns a match takes part in, one a line: lower-case, without digits, with a letter."""
+
+    def plain(words: Column) -> Column:
+        return F.regexp_replace(F.regexp_replace(F.lower(words), "[0-9]++", ""), "\\s++", " ")
+
+    front = F.substring(gap, -CONTEXT_CHARS, CONTEXT_CHARS)
+    back = F.substring(behind, 1, CONTEXT_CHARS)
+    two = plain(F.regexp_extract(front, "((?:[^\\s]+\\s+)?[^\\s]+)\\s*$", 1))
+    label = plain(F.regexp_extract(front, "([^\\s]*\\p{L}[^\\s]*[:=#])\\s*$", 1))
+    after = plain(F.regexp_extract(back, "^\\s*([^\\s]+\\s+[^\\s]+)\\s", 1))
+    named = [F.when(words.rlike("\\p{L}"), F.concat(F.lit(f"{place} "), words)) for place, words in (("before", two), ("label", label), ("after", after))]
+    return F.nullif(F.concat_ws("\n", *named), F.lit(""))
 
 
 def base_spans(text: Column, context: bool = False) -> Column:
@@ -76,56 +91,85 @@ def base_spans(text: Column, context: bool = False) -> Column:
     )
 
 
-def _free(candidates: Column, taken: Column) -> Column:
-    """Candidates that overlap no taken span."""
-    return F.filter(
-        candidates, lambda c: ~F.exists(taken, lambda t: (c["start"] < t["stop"]) & (t["start"] < c["stop"]))
-    )
-
-
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(doc_id, code, seeds, candidates): one row per row; ``code`` is a hash of the text and, with doc_id, its key."""
+    """(doc_id, code, seeds, candidates): one row per row; ``code`` is a hash of the text and, with doc_id, its key.
+
+    Candidates are sought in the text with the seeds blanked out, so they overlap none.
+    """
     narrow = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     seeds = narrow.withColumn("seeds", base_spans(F.col("text"), context=True))
-    numbers = pattern_spans(F.col("text"), FOUND, len(KINDS) + 1, NUMBER, context=_context)
-    return seeds.select("doc_id", F.xxhash64("text").alias("code"), "seeds", _free(numbers, F.col("seeds")).alias("candidates"))
+    blank = F.when(F.size("seeds") > 0, replaced(F.col("text"), merged(F.col("seeds")), lambda s: F.repeat(F.lit("\u00b7"), s["stop"] - s["start"])))
+    seeds = seeds.withColumn("rest", F.coalesce(blank, F.col("text")))
+    others = pattern_spans(F.col("rest"), FOUND, len(KINDS) + 1, CANDIDATE, context=_context)
+    return seeds.select("doc_id", F.xxhash64("text").alias("code"), "seeds", others.alias("candidates"))
+
+
+def merged(spans: Column) -> Column:
+    """Sorted spans with overlapping ones cut to what the spans before them leave, empty ones dropped."""
+    before = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int>>").alias("found"))
+
+    def step(state: Column, span: Column) -> Column:
+        begin = F.greatest(span["start"], state["at"])
+        one = F.array(F.struct(begin.alias("start"), span["stop"].alias("stop")))
+        return F.struct(
+            F.greatest(state["at"], span["stop"]).alias("at"),
+            F.when(begin < span["stop"], F.concat(state["found"], one)).otherwise(state["found"]).alias("found"),
+        )
+
+    def gather(state: Column, block: Column) -> Column:
+        inner = F.struct(state["at"].alias("at"), F.array().cast("array<struct<start:int,stop:int>>").alias("found"))
+        return once(
+            F.aggregate(block, inner, step),
+            lambda done: F.struct(done["at"].alias("at"), F.concat(state["found"], F.array(done["found"])).alias("found")),
+        )
+
+    whole = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<start:int,stop:int>>>").alias("found"))
+    return F.aggregate(blocks_of(spans), whole, gather, lambda state: F.flatten(state["found"]))
 
 
-def scored_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def scored_patterns(edges: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataFrame:
     """(pattern, score, seeds) from distinct (pattern, instance, seed) edges, by rounds over the graph."""
     instances = edges.groupBy("instance").agg((F.max(F.col("seed").cast("long")) * ONE).alias("worth"))
-    patterns = None
-    for _ in range(rounds):
+    trusted_before, patterns = -1, None
+    for _ in range(most_rounds):
         patterns = (
             edges.join(instances, "instance")
             .groupBy("pattern")
             .agg(F.floor(F.sum("worth") / F.count(F.lit(1))).alias("score"), F.sum(F.col("seed").cast("long")).alias("seeds"))
         )
         patterns = stored(patterns, "pii-patterns")
-        trusted = F.when(F.col("seeds") >= LEAST_SEEDS, F.col("score")).otherwise(0)
+        trusted = patterns.filter((F.col("score") >= CONFIDENCE) & (F.col("seeds") >= LEAST_SEEDS)).count()
+        if trusted == trusted_before:  # scores only rise from round to round, so the trusted set has not changed
+            break
+        trusted_before = trusted
+        score = F.when(F.col("seeds") >= LEAST_SEEDS, F.col("score")).otherwise(0)
+        doubt = F.floor(F.log(F.greatest(1 - F.col("score") / ONE, F.lit(1e-6))) * ONE).cast("long")
         instances = (
-            edges.join(patterns.select("pattern", trusted.alias("score")), "pattern")
+            edges.join(patterns.select("pattern", score.alias("score")), "pattern")
             .groupBy("instance")
-            .agg(F.when(F.max("seed"), F.lit(ONE)).otherwise(F.max("score")).cast("long").alias("worth"))
+            .agg(
+                F.when(F.max("seed"), F.lit(ONE))
+                .otherwise(F.floor((1 - F.exp(F.sum(doubt) / ONE)) * ONE))
+                .cast("long")
+                .alias("worth")
+            )
         )
     return patterns
 
 
 def discovered(found: DataFrame) -> DataFrame:
-    """(doc_id, code, extra): candidates behind patterns of high confidence."""
-    parts = found.select(
-        "doc_id", "code", F.explode(F.concat("seeds", "candidates")).alias("span")
-    ).select("doc_id", "code", "span", F.col("span")["context"].alias("pattern"))
-    named = parts.filter(F.col("pattern").isNotNull())
-    instance = F.when(F.col("span")["kind"] == "email", F.lower(F.col("span")["match"])).otherwise(_digits(F.col("span")["match"]))
-    edges = (
-        named.groupBy("pattern", instance.alias("instance"))
-        .agg(F.max(F.col("span")["kind"] != FOUND).alias("seed"))
+    """(doc_id, code, extra): candidates beside patterns of high confidence."""
+    named = found.select("doc_id", "code", F.explode(F.concat("seeds", "candidates")).alias("span")).select(
+        "doc_id", "code", "span", F.explode(F.split(F.col("span")["context"], "\n")).alias("pattern")
     )
+    form = F.lower(F.col("span")["match"])
+    digits = _digits(form)
+    instance = F.when(F.length(digits) >= 6, digits).otherwise(form)
+    edges = named.groupBy("pattern", instance.alias("instance")).agg(F.max(F.col("span")["kind"] != FOUND).alias("seed"))
     patterns = scored_patterns(stored(edges, "pii-edges"))
     sure = patterns.filter((F.col("score") >= CONFIDENCE) & (F.col("seeds") >= LEAST_SEEDS)).select("pattern")
     extra = named.filter(F.col("span")["kind"] == FOUND).join(sure, "pattern", "left_semi")
-    return extra.groupBy("doc_id", "code").agg(F.array_distinct(F.collect_list("span")).alias("extra"))
+    return extra.groupBy("doc_id", "code").agg(F.array_sort(F.collect_set("span")).alias("extra"))
 
 
 def _with_extra(rows: DataFrame, extra: DataFrame) -> DataFrame:
@@ -156,21 +200,7 @@ def identifier_rows(docs: DataFrame) -> DataFrame:
 
 def redact(text: Column, spans: Column) -> Column:
     """``text`` with every span, in order, replaced by its kind in brackets; of overlapping spans the first counts."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-
-    def step(state: Column, span: Column) -> Column:
-        piece = F.substring(text, state["at"] + 1, span["start"] - state["at"])
-        mark = F.concat(F.lit("["), F.upper(span["kind"]), F.lit("]"))
-        fresh = span["start"] >= state["at"]
-        return F.struct(
-            F.greatest(state["at"], span["stop"]).alias("at"),
-            F.when(fresh, F.concat(state["parts"], F.array(piece, mark))).otherwise(state["parts"]).alias("parts"),
-        )
-
-    whole = F.aggregate(
-        spans, start, step, lambda s: F.concat(F.array_join(s["parts"], ""), F.substring(text, s["at"] + 1, F.length(text)))
-    )
-    return F.when(F.size(spans) == 0, text).otherwise(whole)
+    return replaced(text, spans, lambda span: F.concat(F.lit("["), F.upper(span["kind"]), F.lit("]")))
 
 
 def redacted(docs: DataFrame) -> DataFrame:
