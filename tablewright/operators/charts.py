@@ -138,17 +138,3 @@ def anova_effect_chart(table: DataFrame) -> DataFrame:
     return table.filter(F.lower("term") != "residual").select(
         F.col("term").alias("x"), F.coalesce("f", F.lit(0.0)).alias("y")
     )
-
-
-DIAGNOSTIC_CHARTS = {
-    "confusion_matrix": "confusion_matrix",
-    "feature_importance": "feature_importance",
-    "residuals": "residual",
-    "assignments": "cluster_scatter",
-    "anova": "anova_effect",
-}
-
-
-def diagnostic_charts(tables: Mapping[str, DataFrame]) -> dict[str, str]:
-    """Chart type for every result table that has one."""
-    return {name: chart for name, chart in DIAGNOSTIC_CHARTS.items() if name in tables}

@@ -165,13 +165,6 @@ def fit_preparation(df: DataFrame, columns: Sequence[str]) -> Preparation:
     return Preparation(model, names)
 
 
-def label_indexer(df: DataFrame, target: str, output: str = "label") -> StringIndexerModel:
-    """Lexicographic label encoding of the target cast to text."""
-    return (
-        StringIndexer(inputCol=target, outputCol=output, stringOrderType="alphabetAsc", handleInvalid="skip").fit(df)
-    )
-
-
 def encode_labels(df: DataFrame, label: str, output: str = "label_index") -> DataFrame:
     """Zero-based rank of the label text among the distinct labels, joined back to the rows."""
     from pyspark.sql import Window

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GBTRegressor, LinearRegression, LinearRegressionModel, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression, LinearRegressionModel, RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -172,15 +172,30 @@ def run_sequence(
     metrics = cut_lineage(long_metrics(row).unionByName(long_metrics(sizes)))
     tables = {
         "prediction_preview": predictions.orderBy(*order).limit(PREDICTION_ROWS).select("actual", "predicted"),
-        "loss_history": loss_history(fitted, spark),
+        "loss_history": loss_history(fitted, train),
     }
     ready.unpersist()
     return SequenceRun(PipelineModel([fitted]), metrics, tables, predictions)
 
 
-def loss_history(fitted, spark) -> DataFrame:
-    """(epoch, loss) where the trainer records its objective; empty for tree ensembles."""
-    summary = None
+def _ensemble_losses(fitted, train: DataFrame) -> list[float]:
+    """Mean squared training error after each boosting round or with each further bagged tree, in one pass for the latter."""
+    if isinstance(fitted, GBTRegressionModel):
+        return list(fitted.evaluateEachIteration(train, "squared"))
+    frame, total, errors = train.select("label", "features"), F.lit(0.0), []
+    for i, tree in enumerate(fitted.trees):
+        frame = tree.setFeaturesCol("features").setPredictionCol(f"tree_{i}").transform(frame)
+        total = total + F.col(f"tree_{i}")
+        errors.append(F.avg(F.pow(F.col("label") - total / (i + 1), F.lit(2.0))))
+    return list(frame.agg(*errors).first())
+
+
+def loss_history(fitted, train: DataFrame) -> DataFrame:
+    """(epoch, loss): the objective the trainer recorded, or the training error by size of a tree ensemble."""
+    spark, summary = train.sparkSession, None
+    if isinstance(fitted, (GBTRegressionModel, RandomForestRegressionModel)):
+        losses = _ensemble_losses(fitted, train)
+        return spark.createDataFrame([(i + 1, float(v)) for i, v in enumerate(losses)], "epoch int, loss double")
     if isinstance(fitted, (LinearRegressionModel, MultilayerPerceptronClassificationModel)) and fitted.hasSummary:
         summary = fitted.summary if isinstance(fitted, LinearRegressionModel) else fitted.summary()
     history = list(summary.objectiveHistory) if summary is not None else []

@@ -6,6 +6,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .errors import ParameterError
+
 # Runtime SQL settings every operator assumes; all of them are Spark's own switches.
 SQL_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -34,10 +36,16 @@ def use_utc(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; without one, a folder below the warehouse, which a cluster
-    shares as well. Never a folder of one machine."""
+    """The folder named in ``spark.checkpoint.dir``; without one, a folder below the warehouse if all executors
+    see it, that is unless it is a local path on a cluster."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    return configured.rstrip("/") if configured else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+    if configured:
+        return configured.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    local_path = warehouse.startswith(("file:", "/"))
+    if local_path and not spark.sparkContext.master.startswith("local"):
+        raise ParameterError("set spark.checkpoint.dir to a folder that all executors share", warehouse=warehouse)
+    return f"{warehouse}/_scratch"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

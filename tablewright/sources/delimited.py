@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -17,14 +20,16 @@ from .files import charsets, raw_lines, require_charsets
 
 
 def normalise_headers(values: Iterable[str | None]) -> list[str]:
-    """Trimmed names; blanks are numbered by position, repeats get _2, _3, ..."""
-    seen: dict[str, int] = {}
-    names = []
-    for position, value in enumerate(values, start=1):
-        name = (value or "").strip().lstrip("\ufeff").strip() or f"{BLANK_HEADER_PREFIX}{position}"
-        seen[name] = seen.get(name, 0) + 1
-        names.append(name if seen[name] == 1 else f"{name}_{seen[name]}")
-    return names
+    """Distinct column names: trimmed, blanks named by their position. Of columns with the same name the first
+    keeps it and the others take the lowest number from 2 on that no column has: ``a, a, a_2`` is ``a, a_3, a_2``."""
+    trimmed = [re.sub(r"^[\s\ufeff]+|\s+$", "", value or "") for value in values]
+    named = [name or f"{BLANK_HEADER_PREFIX}{place}" for place, name in enumerate(trimmed, start=1)]
+    used, owner = set(named), {name: place for place, name in reversed(list(enumerate(named)))}
+    numbers = {name: count(2) for name, times in Counter(named).items() if times > 1}
+    for place, name in enumerate(named):
+        if owner[name] != place:
+            named[place] = next(free for n in numbers[name] if (free := f"{name}_{n}") not in used)
+    return named
 
 
 def delimiter_scores(lines: DataFrame) -> DataFrame:

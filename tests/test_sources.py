@@ -15,6 +15,7 @@ from tablewright.sources import archives, datasets, delimited, files, workbooks
 
 def test_headers():
     assert delimited.normalise_headers([" a ", None, "a", "", "b"]) == ["a", "未命名字段_2", "a_2", "未命名字段_4", "b"]
+    assert delimited.normalise_headers(["a", "a", "a_2", "a", "\ufeffb"]) == ["a", "a_3", "a_2", "a_4", "b"]
 
 
 @pytest.mark.parametrize("encoding, name", [("utf-8-sig", "UTF-8"), ("gb18030", "GB18030"), ("utf-16", "UTF-16LE")])
