@@ -3,7 +3,7 @@
 Documents with equal shingle sets are one node. Each node has a MinHash signature and a place in several sorted
 orders; an order's first two values name a region. In each order the neighbours with the longest common prefix
 stand side by side and are the first candidates: pairs whose signatures agree enough are confirmed on the full
-sets, each node's best first, and linked. What is left are regions that still hold more than one class. A small
+sets, the best of each class in a round, and linked. What is left are regions that still hold more than one class. A small
 one compares its members of different classes by signature. In a dense one the forest grows deeper: it branches
 into several sub-orders by further signature values, again and again until its regions are small, so that the depth
 follows the density. Members that may be linked form clumps, of which only a spanning forest is written down; a
@@ -44,7 +44,8 @@ GRID_SIDE = 4
 BRANCHES = 4
 BRANCH_VALUES = 3
 MOST_LEVELS = 8
-# Rounds in which each class confirms its best candidate, before what is left is confirmed.
+# Most rounds in which each class confirms its best candidate; they end when a round links nothing. Classes at least
+# halve wherever a round links. More rounds cost more shuffles than they save (quick check, eight rounds).
 BEST_ROUNDS = 2
 # Members and shingles in a block of a clump, blocks of a clump beyond which it is confirmed in its regions, and
 # columns of a membership matrix at once.
@@ -167,8 +168,10 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
                 linked.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    # Only the sets of a side's nodes move, not all sets once more for each round of few pairs.
+    left, right = (sets.join(pairs.select(F.col(c).alias("node")).distinct(), "node", "left_semi") for c in ("a", "b"))
+    left = left.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    right = right.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, linked boolean")
 
 
@@ -204,12 +207,14 @@ def neighbours(members: DataFrame) -> DataFrame:
     return ranged.select("key", "node", "sketch").mapInArrow(run, "a long, b long, agreeing int").distinct()
 
 
-def deeper(hot: DataFrame, branches: int = BRANCHES, values: int = BRANCH_VALUES) -> DataFrame:
-    """(key, tree, node, class, sketch) rows of dense regions dealt to sub-orders: each looks at further signature values."""
-    sub = hot.withColumn("branch", F.explode(F.sequence(F.lit(0), F.lit(branches - 1))))
+def deeper(hot: DataFrame, sketches: DataFrame, branches: int = BRANCHES, values: int = BRANCH_VALUES) -> DataFrame:
+    """(key, tree, node, class) rows of dense regions dealt to sub-orders: each looks at further signature values.
+
+    Sketches come from (node, sketch) rows and are left again at once, so that what is stored for each branch is narrow."""
+    sub = hot.join(sketches, "node").withColumn("branch", F.explode(F.sequence(F.lit(0), F.lit(branches - 1))))
     sub = sub.withColumn("tree", F.xxhash64("tree", "branch"))
     picked = [F.substring("sketch", F.pmod(F.xxhash64("tree", F.lit(j)), F.lit(VALUES)).cast("int") + 1, F.lit(1)) for j in range(values)]
-    return sub.withColumn("key", F.xxhash64("key", "tree", *picked)).drop("branch")
+    return sub.withColumn("key", F.xxhash64("key", "tree", *picked)).select("key", "tree", "node", "class")
 
 
 def mixed_regions(members: DataFrame) -> DataFrame:
@@ -339,22 +344,23 @@ def _in_cells(rows: DataFrame, side, columns: list[str]) -> DataFrame:
 
 
 def small_regions(
-    members: DataFrame, region_members: int = REGION_MEMBERS, grid_side: int = GRID_SIDE, most_levels: int = MOST_LEVELS
+    members: DataFrame, sketches: DataFrame, region_members: int = REGION_MEMBERS, grid_side: int = GRID_SIDE, most_levels: int = MOST_LEVELS
 ) -> DataFrame:
-    """(key, members, node, class, sketch) of regions with more than one class, from (key, tree, node, class, sketch) rows.
+    """(key, members, node, class) of regions with more than one class, from (key, tree, node, class) rows and the
+    sketches of the nodes.
 
     Dense regions are grown deeper; one that stays dense over ``most_levels`` is returned as it is.
     """
     small = []
     for level in range(most_levels + 1):
         regions = stored(mixed_regions(members), "minhash-regions")
-        here = members.join(regions, "key").select("key", "members", "tree", "node", "class", "sketch")
+        here = members.join(regions, "key").select("key", "members", "tree", "node", "class")
         dense = F.col("members") > region_members * grid_side
         if level == most_levels or regions.filter(dense).isEmpty():
             small.append(here)
             break
         small.append(here.filter(~dense))
-        members = stored(deeper(here.filter(dense).drop("members")), "minhash-deeper")
+        members = stored(deeper(here.filter(dense).drop("members"), sketches), "minhash-deeper")
     found = small[0]
     for part in small[1:]:
         found = found.unionByName(part)
@@ -378,7 +384,7 @@ def _best(pairs: DataFrame) -> DataFrame:
 
 
 def links(
-    docs: DataFrame, nodes: DataFrame, shingle_words: int, percent: int, region_members: int, block_members: int
+    docs: DataFrame, nodes: DataFrame, shingle_words: int, percent: int, region_members: int, block_members: int, best_rounds: int
 ) -> DataFrame:
     """(node, component) of all nodes that are linked with another one; ``nodes`` has node, set, code, n_shingles, keys
     and sketch."""
@@ -393,29 +399,35 @@ def links(
         wanted = wanted if without is None else wanted.join(without.select("node"), "node", "left_anti")
         return stored(full_sets(docs, nodes.join(wanted, "node").select("node", "set", "code"), shingle_words), "minhash-sets")
 
-    def classes_of(linked: DataFrame) -> DataFrame:
-        return stored(connected_components(linked), "minhash-classes")
-
-    def fresh(pairs: DataFrame, before: DataFrame | None) -> DataFrame:
-        pairs = stored(pairs, "minhash-checked")
-        return pairs if before is None else before.unionByName(pairs)
+    def classes_with(before: DataFrame, linked: DataFrame) -> DataFrame:
+        """Classes (node, component) after links (a, b) of nodes; only classes that change are contracted."""
+        ends = _with_class(_with_class(linked, before, "a", "ca"), before, "b", "cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        grown = stored(connected_components(ends.filter("a <> b").distinct()), "minhash-grown")
+        moved = grown.select(F.col("node").alias("component"), F.col("component").alias("to"))
+        old = before.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+        return stored(old.unionByName(grown.join(before.select("node"), "node", "left_anti")), "minhash-classes")
 
     sets = sets_of(pending)
     checked = None
     classes = nodes.sparkSession.createDataFrame([], "node long, component long")
 
-    for _ in range(BEST_ROUNDS):
+    for _ in range(best_rounds):
         open_pairs = pending if checked is None else pending.join(checked.select("a", "b"), ["a", "b"], "left_anti")
         open_pairs = _with_class(_with_class(open_pairs, classes, "a", "ca"), classes, "b", "cb").filter("ca <> cb")
         chosen = stored(_best(open_pairs), "minhash-chosen")
         if chosen.isEmpty():
             break
-        checked = fresh(confirmed(chosen, sets, percent), checked)
-        classes = classes_of(checked.filter("linked").select("a", "b"))
+        now = stored(confirmed(chosen, sets, percent), "minhash-checked")
+        checked = now if checked is None else checked.unionByName(now)
+        linked = now.filter("linked").select("a", "b")
+        if linked.isEmpty():
+            break
+        classes = classes_with(classes, linked)
 
-    members = _with_class(placed.join(sketches, "node").withColumn("tree", F.col("tree").cast("long")), classes, "node", "class")
-    regions = stored(small_regions(members, region_members), "minhash-small")
-    near = _in_cells(regions, F.ceil(F.col("members") / region_members), ["node", "class", "sketch"]).mapInPandas(_signature_links, "a long, b long")
+    members = stored(_with_class(placed.withColumn("tree", F.col("tree").cast("long")), classes, "node", "class"), "minhash-members")
+    regions = stored(small_regions(members, sketches, region_members), "minhash-small")
+    compared = _in_cells(regions.join(sketches, "node"), F.ceil(F.col("members") / region_members), ["node", "class", "sketch"])
+    near = compared.mapInPandas(_signature_links, "a long, b long")
     near = stored(near.distinct(), "minhash-near")
     if near.isEmpty():
         return classes
@@ -434,12 +446,12 @@ def links(
     if not large.isEmpty():
         there = regions.join(large, "node", "left_semi").join(sets, "node")
         found = found.unionByName(_in_cells(there, F.ceil(F.col("members") / block_members), columns).mapInPandas(links_of, "a long, b long"))
-    linked = found if checked is None else found.unionByName(checked.filter("linked").select("a", "b"))
-    return classes_of(linked)
+    return classes_with(classes, stored(found, "minhash-found"))
 
 
 def near_duplicates(
-    docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT, region_members: int = REGION_MEMBERS, block_members: int = BLOCK_MEMBERS
+    docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT, region_members: int = REGION_MEMBERS,
+    block_members: int = BLOCK_MEMBERS, best_rounds: int = BEST_ROUNDS,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id and kept, one row per row of ``docs``.
 
@@ -457,7 +469,7 @@ def near_duplicates(
         .withColumn("node", F.monotonically_increasing_id())
     )
     nodes = stored(nodes, "minhash-nodes")
-    classes = links(docs, nodes, shingle_words, percent, region_members, block_members)
+    classes = links(docs, nodes, shingle_words, percent, region_members, block_members, best_rounds)
     labelled = _with_class(nodes.select("node", "set", "rep"), classes, "node", "class")
     smallest = labelled.groupBy("class").agg(F.min("rep").alias("component_id"))
     by_set = stored(labelled.join(smallest, "class").select(F.col("set").alias("__set"), "component_id"), "minhash-sets-classes")

@@ -218,11 +218,12 @@ def near_rows():
     return rows
 
 
-@pytest.mark.parametrize(("members", "block"), [(minhash.REGION_MEMBERS, minhash.BLOCK_MEMBERS), (2, 1), (4, 6)])
-def test_minhash_classes_equal_plain(spark, members, block):
-    """Small regions force the forest to grow deeper, small blocks force clumps into grids and back into regions."""
+@pytest.mark.parametrize(("members", "block", "rounds"), [(minhash.REGION_MEMBERS, minhash.BLOCK_MEMBERS, minhash.BEST_ROUNDS), (2, 1, 1), (4, 6, 0)])
+def test_minhash_classes_equal_plain(spark, members, block, rounds):
+    """Small regions force the forest to grow deeper, small blocks force clumps into grids and back into regions; few
+    rounds leave these something to find."""
     rows = [*near_rows(), *edge_rows()]
-    got = minhash.near_duplicates(doc_frame(spark, rows), region_members=members, block_members=block).collect()
+    got = minhash.near_duplicates(doc_frame(spark, rows), region_members=members, block_members=block, best_rounds=rounds).collect()
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter(plain_classes(rows))
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
@@ -231,8 +232,9 @@ def test_dense_regions_stay_whole(spark):
     """A region that no further value splits is returned after the last level, and its grid joins all its members."""
     rows = [(7, 0, i, i, bytearray(range(160))) for i in range(23)]
     frame = spark.createDataFrame(rows, "key long, tree long, node long, class long, sketch binary")
-    regions = minhash.small_regions(frame, region_members=5, grid_side=1, most_levels=2)
-    cells = minhash._in_cells(regions, minhash.F.ceil(minhash.F.col("members") / 5), ["node", "class", "sketch"])
+    sketches = frame.select("node", "sketch")
+    regions = minhash.small_regions(frame.drop("sketch"), sketches, region_members=5, grid_side=1, most_levels=2)
+    cells = minhash._in_cells(regions.join(sketches, "node"), minhash.F.ceil(minhash.F.col("members") / 5), ["node", "class", "sketch"])
     pairs = cells.mapInPandas(minhash._signature_links, "a long, b long").collect()
     label = np.arange(23)
     minhash._joined(label, np.array([r.a for r in pairs]), np.array([r.b for r in pairs]))
