@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import cluster_metrics, clustering, density, hierarchy, neighbors
+from ..operators import cluster_metrics, clustering, density, hierarchy, neighbors, spectral
 from ..operators.preparation import fit_preparation
 from .tables import table
 
@@ -93,7 +93,27 @@ hdbscan = _summary("hdbscan", lambda p: hierarchy.hdbscan(p, 8, 42))
 gaussian_mixture = _summary("gaussian_mixture", lambda p: clustering.predicted(clustering.fit_gaussian_mixture(p, 3, 42), p))
 birch = _summary("birch", lambda p: clustering.birch(p, 3))
 optics = _summary("optics", lambda p: hierarchy.optics(p, 8, 42))
-spectral_clustering = _summary("spectral_clustering", lambda p: clustering.spectral(p, 3, 42))
+spectral_clustering = _summary("spectral_clustering", lambda p: spectral.spectral(p, 3, 42))
+
+
+def _graph(spark, sf):
+    nodes = density.distinct_points(_vectors(spark, sf))
+    edges = spectral.affinity_edges(nodes, 5)
+    return nodes, edges, spectral.degrees(edges)
+
+
+def spectral_degrees(spark, sf):
+    """Degrees of the Gaussian affinity on the neighbour graph of the embeddings."""
+    _, _, degree = _graph(spark, sf)
+    return degree.select("id", F.round("degree", 6).alias("degree"))
+
+
+def spectral_step(spark, sf):
+    """One product of the halved normalised affinity with the first coordinate of the embeddings."""
+    nodes, edges, degree = _graph(spark, sf)
+    start = nodes.select("id", F.array(F.col("x")[0]).alias("v"))
+    moved = spectral.multiplied(spectral.normalised(edges, degree), start, 1)
+    return moved.select("id", F.round(F.col("v")[0], 6).alias("value"))
 
 
 def kmedoids(spark, sf):
@@ -145,7 +165,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         neighbour_graph, core_distances, neighbour_counts, core_rows, dbscan, kmeans, fuzzy_cmeans, new_row_assignment, mini_batch_kmeans,
-        agglomerative, hdbscan, gaussian_mixture, birch, optics, spectral_clustering, kmedoids, kmedoids_clusters, calinski_harabasz,
+        agglomerative, hdbscan, gaussian_mixture, birch, optics, spectral_clustering, spectral_degrees, spectral_step, kmedoids, kmedoids_clusters, calinski_harabasz,
         davies_bouldin, silhouette, silhouette_squared, noise_counts, cluster_summary, cluster_chart,
     )
 }
@@ -157,6 +177,11 @@ _ACC = """p AS MATERIALIZED (SELECT c_custkey AS id, (c_acctbal - avg(c_acctbal)
     (c_nationkey - avg(c_nationkey) OVER ()) / stddev_pop(c_nationkey) OVER () AS r FROM customer),
     near AS MATERIALIZED (SELECT a.id AS i, b.id AS j FROM p a JOIN p b ON sqrt((a.s - b.s) ** 2 + (a.r - b.r) ** 2) <= 0.07),
     n AS MATERIALIZED (SELECT i AS id, count(*) AS k FROM near GROUP BY 1)"""
+_AFFINITY = f"""n AS (SELECT min(vec_id) AS id, embedding::DOUBLE[] AS x FROM embeddings GROUP BY 2),
+    d AS (SELECT a.id AS i, b.id AS j, {_D} AS d FROM n a, n b WHERE a.id <> b.id),
+    k AS (SELECT i, j, d FROM d QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, j) <= 5),
+    one AS MATERIALIZED (SELECT least(i, j) AS i, greatest(i, j) AS j, exp(-(max(d) ** 2)) AS w FROM k GROUP BY 1, 2),
+    e AS (FROM one UNION ALL SELECT j, i, w FROM one), g AS MATERIALIZED (SELECT i AS id, sum(w) AS degree FROM e GROUP BY 1)"""
 _BAL = "p AS MATERIALIZED (SELECT c_custkey AS id, (c_acctbal - avg(c_acctbal) OVER ()) / stddev_pop(c_acctbal) OVER () AS s FROM customer)"
 _CENTRE = f"""{_V}, e AS (SELECT id, c, unnest(x) AS v, generate_subscripts(x, 1) AS k FROM v WHERE c >= 0),
     m AS (SELECT c, k, avg(v) AS m, count(*) AS n FROM e GROUP BY 1, 2)"""
@@ -165,6 +190,9 @@ ORACLES = {
     "neighbour_graph": f"""WITH {_PAIRS} SELECT i AS query_id, j AS neighbour_id, round(d, 6) AS distance, row_number() OVER (PARTITION BY i ORDER BY d, j) AS place
         FROM d WHERE i <> j QUALIFY place <= 5""",
     "core_distances": f"WITH {_PAIRS} SELECT i AS id, round(d, 6) AS core_distance FROM d QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, j) = 5",
+    "spectral_degrees": f"WITH {_AFFINITY} SELECT id, round(degree, 6) AS degree FROM g",
+    "spectral_step": f"""WITH {_AFFINITY} SELECT e.i AS id, round((any_value(a.x[1]) + sum(w / sqrt(p.degree) / sqrt(q.degree) * b.x[1])) / 2, 6) AS value
+        FROM e JOIN g p ON p.id = e.i JOIN g q ON q.id = e.j JOIN n a ON a.id = e.i JOIN n b ON b.id = e.j GROUP BY 1""",
     "neighbour_counts": f"WITH {_ACC} SELECT id, k AS neighbours FROM n",
     "core_rows": f"WITH {_ACC} SELECT id, k >= 4 AS core FROM n",
     "dbscan": f"""WITH RECURSIVE {_ACC}, c AS MATERIALIZED (SELECT id FROM n WHERE k >= 4),

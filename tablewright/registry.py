@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 from .constants import MIN_CLUSTER_ROWS
 from .errors import ParameterError, TableError
-from .operators import anova, cluster_metrics, clustering, counting, density, hierarchy, hypothesis, neighbors, profiling, reduction, sequences, supervised
+from .operators import anova, cluster_metrics, clustering, counting, density, hierarchy, hypothesis, neighbors, profiling, reduction, sequences, spectral, supervised
 from .operators.preparation import FEATURES, fit_preparation, select_features
 from .operators.shape import col, long_metrics, numeric_columns
 
@@ -227,7 +227,7 @@ def _cluster(df: DataFrame, algorithm: str, key: Sequence[str], features: list[s
     elif algorithm == "birch":
         labels = clustering.birch(points, k)
     elif algorithm == "spectral_clustering":
-        labels = clustering.spectral(points, k, seed)
+        labels = spectral.spectral(points, k, seed)
     else:
         labels = clustering.agglomerative(points, k, seed)
     labelled = clustering.cut_lineage(points.join(labels, "id").select("id", "x", "cluster"))

@@ -101,7 +101,7 @@ def rand_index(a, b):
 
 @pytest.mark.parametrize(
     "algorithm, parameters",
-    [("kmeans", {}), ("agglomerative", {}), ("dbscan", {"eps": 0.6}), ("hdbscan", {"min_cluster_size": 20}), ("gaussian_mixture", {}), ("birch", {})],
+    [("kmeans", {}), ("agglomerative", {}), ("dbscan", {"eps": 0.6}), ("hdbscan", {"min_cluster_size": 20}), ("gaussian_mixture", {}), ("birch", {}), ("spectral_clustering", {})],
 )
 def test_clusterings_find_the_blobs(spark, algorithm, parameters):
     frame = fixtures.blobs(spark)
