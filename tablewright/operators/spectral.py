@@ -26,7 +26,7 @@ from .partials import gram
 NEIGHBOURS = 10
 # Products in a cycle, most cycles, and the residual of every eigenvector at which they end with the current one.
 STEPS = 6
-CYCLES = 20
+CYCLES = 6
 TOLERANCE = 1e-3
 # Further vectors that are carried along, so that the wanted ones settle faster.
 GUARDS = 8
@@ -110,7 +110,8 @@ def smooth_start(nodes: DataFrame, degree: DataFrame, width: int, seed: int) ->
 
 def leading_vectors(scaled: DataFrame, start: DataFrame, width: int, wanted: int, tolerance: float = TOLERANCE) -> tuple[DataFrame, np.ndarray]:
     """((id, v), values): the ``wanted`` largest eigenvalues of the normalised affinity, and orthonormal vectors of
-    which the first ``wanted`` belong to them. ``start`` has (id, v) rows of ``width`` entries."""
+    which the first ``wanted`` belong to them. Where values lie closer together than the cycles can part, the vectors
+    span smooth functions near theirs. ``start`` has (id, v) rows of ``width`` entries."""
     vectors = start
     for _ in range(CYCLES):
         basis = cut_lineage(vectors.select("id", F.col("v").alias("x")))
