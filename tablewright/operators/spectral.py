@@ -26,7 +26,7 @@ from .partials import gram
 NEIGHBOURS = 10
 # Products in a cycle, most cycles, and the residual of every eigenvector at which they end with the current one.
 STEPS = 6
-CYCLES = 6
+CYCLES = 3
 TOLERANCE = 1e-3
 # Further vectors that are carried along, so that the wanted ones settle faster.
 GUARDS = 8
