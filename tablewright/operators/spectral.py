@@ -16,7 +16,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, scratch_path
 from .components import connected_components
 from .density import distinct_points
 from .neighbors import BLOCK_ROWS, matrix, neighbour_graph
@@ -34,6 +34,14 @@ GUARDS = 8
 LEAST_WEIGHT = 1e-300
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """Written to the shared folder and read back. A checkpoint keeps the planner's size estimate, which multiplies
+    with every join of the steps below; a table has its own."""
+    path = scratch_path(df.sparkSession, "spectral-basis")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def affinity_edges(nodes: DataFrame, neighbours: int = NEIGHBOURS, gamma: float = 1.0, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(a, b, weight) in both directions of every pair of which one is among the nearest of the other."""
     near = neighbour_graph(nodes.select("id", "x"), neighbours, block_rows)
@@ -114,16 +122,16 @@ def leading_vectors(scaled: DataFrame, start: DataFrame, width: int, wanted: int
     span smooth functions near theirs. ``start`` has (id, v) rows of ``width`` entries."""
     vectors = start
     for _ in range(CYCLES):
-        basis = cut_lineage(vectors.select("id", F.col("v").alias("x")))
+        basis = _written(vectors.select("id", F.col("v").alias("x")))
         for step in range(STEPS):
             last = basis.select("id", F.slice("x", step * width + 1, width).alias("v"))
-            basis = cut_lineage(basis.join(multiplied(scaled, last, width), "id").select("id", F.concat("x", "v").alias("x")))
+            basis = _written(basis.join(multiplied(scaled, last, width), "id").select("id", F.concat("x", "v").alias("x")))
         coefficients, theta, residual = _ritz(gram(basis)[0][2], width, wanted)
         vectors, width = basis.select("id", _combined("x", coefficients).alias("v")), coefficients.shape[1]
         if residual <= tolerance:
             break
     wanted = min(wanted, width)
-    return cut_lineage(vectors.select("id", F.slice("v", 1, wanted).alias("v"))), 2.0 * theta[:wanted] - 1.0
+    return _written(vectors.select("id", F.slice("v", 1, wanted).alias("v"))), 2.0 * theta[:wanted] - 1.0
 
 
 def _place(value: Column, known: list[int]) -> Column:
