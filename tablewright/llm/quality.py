@@ -135,11 +135,11 @@ def consistency(share: float = NEAREST_SHARE, degrees: int = len(NAMES)) -> floa
 
 
 def resolution(medians: list[Column]) -> list[Column]:
-    """Change of each statistic of the median document by its smallest event, in units: one word, one character, one
+    """Change of each statistic of the median document by its smallest event, in units: one word, one word of twice the length, one
     symbol, one repeated line, one repeated window. A statistic is not taken to vary less than that."""
     words = F.greatest(F.expm1(medians[0] / UNITS), F.lit(1.0))
     chars = F.greatest(words * F.exp(medians[1] / UNITS), F.lit(1.0))
-    events = [1.0 / words, 1.0 / chars, F.sqrt(1.0 / chars), F.lit(math.log(2.0)), F.least(2.0 * WINDOW_WORDS / words, F.lit(1.0))]
+    events = [1.0 / words, 1.0 / words, F.sqrt(1.0 / chars), F.lit(math.log(2.0)), F.least(2.0 * WINDOW_WORDS / words, F.lit(1.0))]
     return [F.greatest(event * UNITS, F.lit(1.0)) for event in events]
 
 

@@ -67,7 +67,7 @@ def smallest_determinant(x):
     med = np.median(x, axis=0) / quality.UNITS
     words = np.expm1(med[0])
     chars = words * np.exp(med[1])
-    floors = np.maximum(np.array([1 / words, 1 / chars, chars**-0.5, np.log(2), min(16 / words, 1)]) * quality.UNITS, 1)
+    floors = np.maximum(np.array([1 / words, 1 / words, chars**-0.5, np.log(2), min(16 / words, 1)]) * quality.UNITS, 1)
     best = (np.inf, ())
     for subset in itertools.combinations(range(len(x)), int(np.ceil(0.75 * len(x)))):
         scatter = quality.consistency() * np.cov(x[list(subset)].T, bias=True)
@@ -85,7 +85,7 @@ def test_quality_estimates(spark):
         rows += counted_rows(rng, 12, "en", source)
         rows += [("en", source, 300 + i, 9000 + 40 * i, 4000 + 9 * i, 300 + i, 5 + i, False) for i in range(3)]
     tied = counted_rows(rng, 200, "en", "tied", tied=True)
-    rows += tied + [("en", "tied", 800, 3300, 130, 12, 120, False), ("en", "tied", 1800, 12200, 490, 12, 270, False)]
+    rows += tied + [("en", "tied", 800, 3300, 130, 12, 120, False), ("en", "tied", 1087, 8108, 324, 12, 163, False)]
     for source in range(10):
         rows += counted_rows(rng, 2, "de", f"s{source}")
     rows += counted_rows(rng, 2, "fr", "s") + [(None, "s", 3, 9, 0, 0, 0, True)]
