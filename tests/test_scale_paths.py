@@ -150,3 +150,37 @@ def test_depth_beyond_the_limit_is_refused(spark):
 
     with pytest.raises(ParameterError, match="max_depth"):
         registry.run(fixtures.classification(spark), "decision_tree_classifier", key=["id"], target="target_class", parameters={"max_depth": 40})
+
+
+def test_sliced_quantiles_keep_empty_columns_and_equal_the_builtin(spark):
+    rng = np.random.default_rng(7)
+    rows = [(int(i % 3) if i % 3 else None, float(v), None) for i, v in enumerate(rng.integers(0, 40, 900) / 7)]
+    frame = spark.createDataFrame(rows, "g int, v double, w double").repartition(5)
+    for by in ([], ["g"]):
+        found, plain = (
+            {(r[by[0]] if by else 0, r["column"], r["prob"]): r["value"] for r in
+             quantiles.exact_quantiles(frame, ["v", "w"], [0.0, 0.3, 0.5, 1.0], by=by, builtin_rows=n).collect()}
+            for n in (10, 1000)
+        )
+        assert found == plain
+
+
+def test_quantiles_above_the_builtin_bound_never_hold_a_group(spark):
+    """No join by column name alone and no built-in percentile: both bring a whole column to one task."""
+    frame = spark.range(quantiles.BUILTIN_ROWS + 1).select(F.col("id").cast("double").alias("v"))
+    found = quantiles.exact_quantiles(frame, ["v"], [0.5])
+    assert "percentile" not in found._jdf.queryExecution().toString()
+    assert found.first()["value"] == quantiles.BUILTIN_ROWS / 2
+    assert quantiles.BUILTIN_ROWS <= 200_000
+
+
+def test_medoids_take_few_passes(spark, monkeypatch):
+    """Tangents of the convex distance sum end the search after a few candidate batches."""
+    x = np.random.default_rng(8).normal(size=(4000, 3))
+    frame = points(spark, x).select("id", "x", F.lit(1).alias("weight"), F.lit(0).cast("long").alias("cluster")).persist()
+    passes = []
+    original = clustering.summed
+    monkeypatch.setattr(clustering, "summed", lambda df, fold: passes.append(1) or original(df, fold))
+    found = clustering.exact_medoids(frame, batch=16)
+    assert found[0][0] == pairwise(x).sum(1).argmin()
+    assert len(passes) <= 12
