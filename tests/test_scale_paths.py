@@ -184,3 +184,38 @@ def test_medoids_take_few_passes(spark, monkeypatch):
     found = clustering.exact_medoids(frame, batch=16)
     assert found[0][0] == pairwise(x).sum(1).argmin()
     assert len(passes) <= 12
+
+
+def test_long_neighbour_blocks_in_strips_equal_brute_force(spark, monkeypatch):
+    """A row is shuffled once per block of the other side; strips keep the kernel's matrix small."""
+    monkeypatch.setattr(neighbors, "STRIP_CELLS", 300)
+    x = np.random.default_rng(9).integers(0, 6, (220, 2)).astype(float)
+    sizes = []
+    original = neighbors.block_join
+    monkeypatch.setattr(neighbors, "block_join", lambda *a, **k: sizes.append(k.get("longer")) or original(*a, **k))
+    graph = neighbors.neighbour_graph(points(spark, x), 3, block_rows=8).toPandas()
+    assert sizes == [neighbors.KNN_BLOCKS]
+    d = pairwise(x)
+    np.fill_diagonal(d, np.inf)
+    for i in range(len(x)):
+        got = graph[graph.query_id == i].sort_values("place").neighbour_id.to_numpy()
+        assert (np.lexsort((np.arange(len(x)), d[i]))[:3] == got).all(), i
+
+
+def test_rows_of_a_class_are_not_brought_together(spark):
+    """The class cuts are broadcast: one task per class would read half of a table with two classes."""
+    frame = spark.range(4000, numPartitions=6).withColumn("label", F.when(F.col("id") % 2 == 0, "a").otherwise("b"))
+    cut = splitting.stratified_split(frame, ["id"], "label", 0.2, 1)
+    cut.collect()
+    assert cut.rdd.getNumPartitions() == 6
+    assert cut.groupBy(F.spark_partition_id()).count().count() == 6
+
+
+def test_models_are_fitted_in_even_parts(spark):
+    from tablewright import session
+
+    one = spark.range(100_000, numPartitions=1)
+    sizes = [len(part) for part in session.spread(one, 100_000, ["id"]).rdd.glom().collect()]
+    assert len(sizes) == 5 and min(sizes) > 15_000
+    assert session.spread(one.limit(50), 50, ["id"]).rdd.getNumPartitions() == 1
+    assert session.slices_for(one, 40_000_000) == 80
