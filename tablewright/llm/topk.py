@@ -43,6 +43,15 @@ def _packed(**arrays: np.ndarray) -> bytes:
     return out.getvalue()
 
 
+def _narrow(vectors: np.ndarray) -> np.ndarray:
+    """The same whole numbers in the shortest integer type that holds them all."""
+    for kind in (np.int16, np.int32):
+        limit = np.iinfo(kind)
+        if vectors.size and limit.min <= vectors.min() and vectors.max() <= limit.max:
+            return vectors.astype(kind)
+    return vectors
+
+
 def _matrix(frame: pd.DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(ids, vectors): shorter vectors are filled with zeros; of rows repeating an id the smallest vector stays."""
     vectors = np.zeros((len(frame), width), np.int64)
@@ -100,12 +109,13 @@ class BallTree:
         return BallTree(ids[order], vectors[order], np.array(nodes), np.array(centres), np.array(radii), np.array(least))
 
     def dump(self) -> bytes:
-        return _packed(ids=self.ids, vectors=self.vectors, nodes=self.nodes, centres=self.centres, radii=self.radii, least=self.least)
+        return _packed(ids=self.ids, vectors=_narrow(self.vectors), nodes=self.nodes, centres=self.centres, radii=self.radii, least=self.least)
 
     @staticmethod
     def load(raw: bytes) -> "BallTree":
         with np.load(io.BytesIO(raw)) as held:
-            return BallTree(*(held[name] for name in ("ids", "vectors", "nodes", "centres", "radii", "least")))
+            vectors = held["vectors"].astype(np.int64)
+            return BallTree(held["ids"], vectors, *(held[name] for name in ("nodes", "centres", "radii", "least")))
 
     def search(self, ids: np.ndarray, queries: np.ndarray, kth: np.ndarray, kth_id: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of up to ``k`` vectors per query that may beat its (kth, kth_id); NONE scores fill up."""
@@ -226,7 +236,7 @@ def _wave(asked: DataFrame, trees: DataFrame, best: DataFrame, places: tuple[int
         limits = frame.drop_duplicates("vec_id").set_index("vec_id").loc[ids]
         kth = [NONE if pd.isna(x) else int(x) for x in limits["kth"]]
         kth_id = [0 if pd.isna(x) else int(x) for x in limits["kth_id"]]
-        raw = _packed(ids=ids, vectors=matrix, kth=np.array(kth, np.int64), kth_id=np.array(kth_id, np.int64))
+        raw = _packed(ids=ids, vectors=_narrow(matrix), kth=np.array(kth, np.int64), kth_id=np.array(kth_id, np.int64))
         return pd.DataFrame({"block": frame["block"].iloc[:1].to_numpy(), "queries": [raw]})
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -234,7 +244,7 @@ def _wave(asked: DataFrame, trees: DataFrame, best: DataFrame, places: tuple[int
             for queries, tree in zip(batch["queries"], batch["tree"]):
                 with np.load(io.BytesIO(queries)) as held:
                     ids = held["ids"]
-                    found, scores = BallTree.load(tree).search(ids, held["vectors"], held["kth"], held["kth_id"], k)
+                    found, scores = BallTree.load(tree).search(ids, held["vectors"].astype(np.int64), held["kth"], held["kth_id"], k)
                 hit = scores > NONE
                 yield pd.DataFrame({"query_id": np.repeat(ids, k)[hit.ravel()], "vec_id": found[hit], "score": scores[hit]})
 
@@ -244,4 +254,5 @@ def _wave(asked: DataFrame, trees: DataFrame, best: DataFrame, places: tuple[int
     dealt = blocks.withColumn("step", F.explode(F.sequence(F.lit(places[0]), F.lit(places[1] - 1)))).withColumn(
         "shard", F.pmod(F.col("block") + F.col("step"), F.lit(shards)).cast("long")
     )
-    return dealt.join(trees, "shard").select("queries", "tree").mapInPandas(search, "query_id long, vec_id long, score long")
+    # Packed blocks and trees are megabytes a row, of which the size estimates know nothing: neither side may be broadcast.
+    return dealt.hint("merge").join(trees.hint("merge"), "shard").select("queries", "tree").mapInPandas(search, "query_id long, vec_id long, score long")

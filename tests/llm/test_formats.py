@@ -221,3 +221,35 @@ def test_top_k_small_and_large_values(spark):
     huge = [(0, [1e300, -1.0]), (1, [1e300, 0.0]), (2, [-1e300, 0.0]), (3, [2.0**40, 1.0])]
     got = topk.top_k(spark.createDataFrame(huge, schema), query).collect()
     assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"])] == [1, 3, 2] and max(r.score for r in got) == 2**63 - 1
+
+
+def test_packed_blocks_and_trees_are_not_broadcast(spark):
+    """They are megabytes a row; size estimates from their schema would put whole waves on the driver."""
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(v) for v in rng.integers(-99, 99, 4)]) for i in range(300)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    waves, original = [], topk._wave
+
+    def seen(*args):
+        waves.append(original(*args))
+        return waves[-1]
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(topk, "_wave", seen)
+        found = topk.top_k(frame, F.col("vec_id") % 20 == 0, k=3, scale=1, shard_rows=64, block_rows=4).collect()
+    assert waves
+    for wave in waves:
+        plan = wave._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin [shard" in plan and "BroadcastHashJoin [shard" not in plan
+    x = np.array([r[1] for r in rows]).astype(np.int64)
+    for query in range(0, 300, 20):
+        score = x @ x[query]
+        want = [i for i in np.lexsort((np.arange(300), -score)) if i != query][:3]
+        assert [r["vec_id"] for r in sorted(found, key=lambda r: r["rank"]) if r["query_id"] == query] == want
+
+
+def test_narrow_types_hold_every_component():
+    for top in (5, 2**15 - 1, 2**15, 2**31, 2**62):
+        vectors = np.array([[top, -top]], np.int64)
+        assert (topk._narrow(vectors).astype(np.int64) == vectors).all()
+    assert topk._narrow(np.zeros((0, 3), np.int64)).shape == (0, 3)
