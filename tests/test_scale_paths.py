@@ -219,3 +219,21 @@ def test_models_are_fitted_in_even_parts(spark):
     assert len(sizes) == 5 and min(sizes) > 15_000
     assert session.spread(one.limit(50), 50, ["id"]).rdd.getNumPartitions() == 1
     assert session.slices_for(one, 40_000_000) == 80
+
+
+def test_mixture_starts_share_even_parts(spark, monkeypatch):
+    """A table of one row group is dealt over the cores, and a fit is left to keep its own vectors."""
+    seen = []
+    fit = clustering.GaussianMixture.fit
+
+    def spy(self, data):
+        seen.append((data.rdd.getNumPartitions(), data.storageLevel.useMemory))
+        return fit(self, data)
+
+    monkeypatch.setattr(clustering.GaussianMixture, "fit", spy)
+    side = F.when(F.col("id") % 2 == 0, -4.0).otherwise(4.0)
+    frame = spark.range(60_000, numPartitions=1).select("id", F.array(side + F.rand(1)).alias("x"))
+    model = clustering.fit_gaussian_mixture(frame, 2, 1, starts=2)
+    assert seen == [(3, False)] * 2
+    sizes = clustering.predicted(model, frame).groupBy("cluster").count().collect()
+    assert sorted(r["count"] for r in sizes) == [30_000, 30_000]
