@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tablewright.operators import clustering, components, density, neighbors, ordering, quantiles, sequences, splitting
+from tablewright.operators import cluster_metrics, clustering, components, density, neighbors, ordering, quantiles, sequences, splitting
 
 from . import fixtures
 
@@ -237,3 +237,39 @@ def test_mixture_starts_share_even_parts(spark, monkeypatch):
     assert seen == [(3, False)] * 2
     sizes = clustering.predicted(model, frame).groupBy("cluster").count().collect()
     assert sorted(r["count"] for r in sizes) == [30_000, 30_000]
+
+
+def brute_silhouette(x, label):
+    d, scores = pairwise(x), []
+    for i in np.flatnonzero(label >= 0):
+        own = (label == label[i]).sum()
+        b = min((d[i, label == c].mean() for c in np.unique(label[label >= 0]) if c != label[i]), default=np.nan)
+        a = d[i, label == label[i]].sum() / (own - 1) if own > 1 else 0.0
+        scores.append(0.0 if own == 1 or np.isnan(b) or max(a, b) == 0 else (b - a) / max(a, b))
+    return np.mean(scores)
+
+
+@pytest.mark.parametrize("clusters", [1, 3, 90])
+def test_silhouette_in_blocks_equals_brute_force(spark, monkeypatch, clusters):
+    """Tiles far from the origin, with copies, noise and single rows; a task gives few values per row."""
+    monkeypatch.setattr(cluster_metrics, "TILE_ROWS", 7)
+    monkeypatch.setattr(cluster_metrics, "TILE_COLUMNS", 11)
+    rng = np.random.default_rng(4)
+    label = rng.integers(-1, clusters, 240)
+    x = 1e6 + rng.normal(size=(240, 3)) + 2.0 * label[:, None] / clusters
+    x[20:40], label[20:40] = x[20], label[20]
+    x[50:55] = x[20]  # the same place under other labels
+    x[60] = x[61] + 1e-9
+    rows = spark.createDataFrame([(i, [float(v) for v in row], int(c)) for i, (row, c) in enumerate(zip(x, label))], "id long, x array<double>, cluster long")
+    found = cluster_metrics.silhouette(rows, block_rows=4).first()["silhouette"]
+    assert found == pytest.approx(brute_silhouette(x, label), abs=1e-9)
+
+
+def test_silhouette_blocks_return_few_values_a_row():
+    """Clusters that lie whole in a block give one smallest mean, however many there are."""
+    import pandas as pd
+
+    n = 300
+    x = np.random.default_rng(5).normal(size=(n, 2))
+    rows = pd.DataFrame({"id": np.arange(n), "cluster": np.arange(n) // 2, "weight": 1, "n": 2, "members": 2})
+    assert len(cluster_metrics._cluster_sums(rows, rows, x, x)) == 2 * n
