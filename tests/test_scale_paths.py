@@ -273,3 +273,22 @@ def test_silhouette_blocks_return_few_values_a_row():
     x = np.random.default_rng(5).normal(size=(n, 2))
     rows = pd.DataFrame({"id": np.arange(n), "cluster": np.arange(n) // 2, "weight": 1, "n": 2, "members": 2})
     assert len(cluster_metrics._cluster_sums(rows, rows, x, x)) == 2 * n
+
+
+@pytest.mark.parametrize("columns", [1, 2, 3])
+def test_dbscan_in_few_columns_compares_no_blocks(spark, monkeypatch, columns):
+    """Dense cells, chains, copies and border rows on the grid, without any block of pairs."""
+    monkeypatch.setattr(density, "block_join", lambda *a, **k: pytest.fail("blocks of pairs"))
+    rng = np.random.default_rng(columns)
+    x = np.vstack([rng.normal(0, 0.2, (80, columns)), rng.uniform(-3, 3, (120, columns)), np.round(rng.uniform(-3, 3, (60, columns)) * 4) / 4])
+    x[100:104] = x[100]
+    for eps, m in ((0.25, 3), (0.5, 6)):
+        found = density.dbscan(points(spark, x), eps, m).toPandas().sort_values("id").cluster.to_numpy()
+        assert (found == brute_dbscan(x, eps, m)).all()
+
+
+def test_dbscan_in_many_columns_equals_brute_force(spark):
+    rng = np.random.default_rng(6)
+    x = np.vstack([rng.normal(c, 0.4, (60, 5)) for c in (-1, 1)])
+    found = density.dbscan(points(spark, x), 0.9, 4, block_rows=16).toPandas().sort_values("id").cluster.to_numpy()
+    assert (found == brute_dbscan(x, 0.9, 4)).all()
