@@ -292,3 +292,28 @@ def test_dbscan_in_many_columns_equals_brute_force(spark):
     x = np.vstack([rng.normal(c, 0.4, (60, 5)) for c in (-1, 1)])
     found = density.dbscan(points(spark, x), 0.9, 4, block_rows=16).toPandas().sort_values("id").cluster.to_numpy()
     assert (found == brute_dbscan(x, 0.9, 4)).all()
+
+
+def test_boxes_keep_the_nearest_rows_and_ties():
+    """The boxes of a block leave out most pairs of a plane, but no near row, tie or copy; in many columns they give way."""
+    rng = np.random.default_rng(8)
+    x = np.vstack([rng.integers(0, 60, (3000, 2)).astype(float), rng.normal(20, 0.01, (900, 2)), np.full((100, 2), 7.0)])
+    found = neighbors._near_boxes(x, x, 6)
+    assert found is not None and sorted(np.concatenate([own for own, _ in found])) == list(range(len(x)))
+    assert sum(len(own) * len(other) for own, other in found) < len(x) ** 2 / 3
+    for own, other in found:
+        d = neighbors.distances(x[own], x)
+        limit = np.partition(d, 5, axis=1)[:, 5]
+        assert set(np.nonzero(d <= limit[:, None])[1]) <= set(other)
+    assert neighbors._near_boxes(rng.normal(size=(600, 40)), rng.normal(size=(600, 40)), 6) is None
+
+
+def test_nearest_rows_of_a_plane_equal_brute_force(spark):
+    rng = np.random.default_rng(2)
+    x = np.vstack([rng.integers(0, 40, (900, 2)) / 4.0, rng.normal(3, 0.01, (300, 2))])
+    points = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "id long, x array<double>")
+    d = neighbors.distances(x, x)
+    np.fill_diagonal(d, np.inf)
+    want = {(i, int(j), n + 1) for i, row in enumerate(d) for n, j in enumerate(np.lexsort((np.arange(len(row)), row))[:4])}
+    got = {(r.query_id, r.neighbour_id, r.place) for r in neighbors.neighbour_graph(points, 4).collect()}
+    assert got == want
