@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import gzip
+import hashlib
 import io
+import random
 import tarfile
 import zipfile
 
@@ -108,3 +110,27 @@ def test_workbooks(spark, tmp_path):
     table = workbooks.read_workbook(spark, str(tmp_path))
     assert table.columns == ["日期", "销量", "flag"]
     assert sorted(tuple(r) for r in table.collect()) == [("2026-01-01T00:00:00", "12", "True"), ("2026-01-02T00:00:00", None, "False")]
+
+
+def test_files_beyond_one_task_are_hashed_in_pieces(spark, tmp_path, monkeypatch):
+    """Hashes equal hashlib's for any bytes, line ends and names, though no file may be read whole."""
+    noise, mark = random.Random(7).randbytes(300_000), b"\xef\xbb\xbf"
+    contents = {
+        "a.parquet": noise, "b [x] 50%20.csv": mark + noise + b"\n", "c.txt": mark + noise[:-1] + b"x", "d.txt": b"a\r\n" * 90_000, "e.txt": b"\n" * 200_000,
+        "f.bin": bytes(250_000), "g.bin": noise[:65_536], "h.bin": noise[:65_537], "i.txt": mark * 70_000, "j.txt": b"short", "k.gz": gzip.compress(noise[:90_000]),
+    }
+    for name, content in contents.items():
+        (tmp_path / name).write_bytes(content)
+    monkeypatch.setattr(files, "WHOLE_BYTES", 1 << 16, raising=False)
+    monkeypatch.setattr(files, "PACK_BYTES", 1 << 12, raising=False)
+    limits = {"spark.sql.sources.binaryFile.maxLength": "100000", "spark.sql.files.maxPartitionBytes": "50000"}
+    try:
+        for key, value in limits.items():
+            spark.conf.set(key, value)
+        # one file is named twice
+        rows = files.fingerprints(spark, [str(tmp_path), str(tmp_path / "a.parquet")]).collect()
+    finally:
+        for key in limits:
+            spark.conf.unset(key)
+    wanted = [(n, len(c), hashlib.sha256(c).hexdigest()) for n, c in contents.items()]
+    assert sorted((r["name"], r["size"], r["sha256"]) for r in rows) == sorted([*wanted, wanted[0]])
