@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tablewright import registry
 from tablewright.errors import ParameterError, TableError
 from tablewright.operators import supervised
+from tablewright.plans import learning
 
 from . import fixtures
 
@@ -142,3 +143,19 @@ def test_unreadable_times_are_refused(spark):
 def test_catalogue_has_all_algorithms():
     assert len(registry.ALGORITHMS) == 58
     assert registry.normalise_parameters("xgboost_classifier", {})["learning_rate"] == 0.05
+
+
+@pytest.mark.parametrize("name", ["gradient_boosting_classifier"])
+def test_boosted_classifier_queries_run_all_rounds(spark, sf, monkeypatch, name):
+    seen = {}
+
+    def stop(*args, **named):
+        seen.update(named)
+        raise LookupError
+
+    monkeypatch.setattr(learning.supervised, "run_supervised", stop)
+    with pytest.raises(LookupError):
+        learning.QUERIES[name](spark, sf)
+    parameters = registry.normalise_parameters(name, seen["parameters"] or {})
+    defaults = registry.normalise_parameters(name, {})
+    assert seen["rounds"] is None and parameters == defaults
