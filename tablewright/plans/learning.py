@@ -222,7 +222,7 @@ QUERIES = {
     "random_forest_classifier": _metrics("random_forest_classifier", "level"),
     "extra_trees_classifier": _metrics("extra_trees_classifier", "level"),
     "gradient_boosting_classifier": _metrics("gradient_boosting_classifier", "half"),
-    "hist_gradient_boosting_classifier": _metrics("hist_gradient_boosting_classifier", "half", rounds=10),
+    "hist_gradient_boosting_classifier": _metrics("hist_gradient_boosting_classifier", "half"),
     "xgboost_classifier": _metrics("xgboost_classifier", "level", {"n_estimators": 10, "max_depth": 3}),
     "svm_classifier": _metrics("svm_classifier", "half"),
 }
