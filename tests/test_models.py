@@ -145,7 +145,7 @@ def test_catalogue_has_all_algorithms():
     assert registry.normalise_parameters("xgboost_classifier", {})["learning_rate"] == 0.05
 
 
-@pytest.mark.parametrize("name", ["gradient_boosting_classifier", "hist_gradient_boosting_classifier"])
+@pytest.mark.parametrize("name", ["gradient_boosting_classifier", "hist_gradient_boosting_classifier", "xgboost_classifier"])
 def test_boosted_classifier_queries_run_all_rounds(spark, sf, monkeypatch, name):
     seen = {}
 
