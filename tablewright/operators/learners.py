@@ -92,11 +92,16 @@ class FourierFeatures(_Stage):
         super().__init__()
         self._setup(size=size, inputs=inputs, gamma=gamma, seed=seed)
 
-    def _transform(self, dataset: DataFrame) -> DataFrame:
+    def draws(self) -> tuple[np.ndarray, np.ndarray]:
+        """The projection and the phases."""
         size, inputs = self.getOrDefault("size"), self.getOrDefault("inputs")
         rng = np.random.default_rng(self.getOrDefault("seed"))
         project = rng.normal(0.0, np.sqrt(2.0 * self.getOrDefault("gamma")), (inputs, size))
-        phase = rng.uniform(0.0, 2.0 * np.pi, size)
+        return project, rng.uniform(0.0, 2.0 * np.pi, size)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        size = self.getOrDefault("size")
+        project, phase = self.draws()
 
         @F.pandas_udf("array<double>")
         def lift(x: pd.Series) -> pd.Series:

@@ -362,3 +362,66 @@ def test_large_forests_are_grown_over_cells(spark, monkeypatch, tmp_path):
     done.model.save(str(tmp_path / "forest"), spark)
     loaded = supervised.FittedModel.load(str(tmp_path / "forest"), spark)
     assert {r[0]: r[1] for r in loaded.predict(frame).select("id", "predicted").collect()}.items() >= rows[0].items()
+
+
+def _loss(rows, weights, intercept, binary, sigma=None):
+    """The loss of a kernel machine as it is written down: every row's, and half the squared standardised weights over the rows."""
+    z, y = np.array([r["kernel_features"].toArray() for r in rows]), np.array([r["label"] for r in rows])
+    value, size = z @ weights + intercept, weights * z.std(axis=0, ddof=1)
+    if binary:
+        return np.maximum(0.0, 1.0 - (2 * y - 1) * value).mean() + size @ size / (2 * len(y))
+    r = np.abs(value - y) / sigma
+    return (np.where(r <= 1.35, 1 + r * r, 1 + 2.7 * r - 1.35**2) * sigma).mean() / 2 + size @ size / (2 * len(y))
+
+
+@pytest.mark.parametrize("binary", [True, False])
+def test_kernel_machines_reach_the_loss_of_the_builtin_ones(spark, binary):
+    from pyspark.ml.classification import LinearSVC
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+
+    from tablewright.operators.kernel import fit_kernel_machine
+    from tablewright.operators.learners import FourierFeatures
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1, (600, 3))
+    y = np.sin(2 * x[:, 0]) + x[:, 1] * x[:, 2] + rng.standard_t(2, 600) * 0.2
+    y = (y > 0).astype(float) if binary else 50 + 9 * y
+    frame = spark.createDataFrame([(*map(float, r), float(v)) for r, v in zip(x, y)], "a double, b double, c double, label double").repartition(3)
+    train = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(frame).persist()
+    kernel = FourierFeatures(size=40, inputs=3, gamma=0.5, seed=7)
+    lifted = kernel.transform(train).select("features", "kernel_features", "label").persist()
+    rows = lifted.collect()
+    found = fit_kernel_machine(train, kernel, 600, float(y.mean()), float(y.std()), binary)
+    weights, intercept = found.floats("weights"), found.getOrDefault("intercept")
+    if binary:
+        builtin = LinearSVC(featuresCol="kernel_features", regParam=1 / 600, maxIter=60, tol=1e-4).fit(lifted)
+        ours, theirs = _loss(rows, weights, intercept, True), _loss(rows, builtin.coefficients.toArray(), builtin.intercept, True)
+    else:
+        builtin = LinearRegression(featuresCol="kernel_features", loss="huber", epsilon=1.35, regParam=1 / 600, maxIter=2000, tol=1e-9).fit(lifted)
+        scales = builtin.scale * np.linspace(0.9, 1.1, 81)
+        ours = min(_loss(rows, weights, intercept, False, s) for s in scales)
+        theirs = _loss(rows, builtin.coefficients.toArray(), builtin.intercept, False, builtin.scale)
+    assert ours <= theirs * 1.005
+    value = np.array([r["kernel_features"].toArray() for r in rows]) @ weights + intercept
+    scored = np.array([r[0] for r in found.transform(lifted).select("prediction").collect()])
+    assert (scored == (value > 0)).mean() > 0.99 if binary else np.allclose(scored, value, atol=1e-3)
+
+
+@pytest.mark.parametrize("algorithm", ["svm_classifier", "svm_regressor"])
+def test_large_kernel_machines_keep_no_lifted_rows(spark, monkeypatch, tmp_path, algorithm):
+    from tablewright.operators import supervised
+
+    binary = algorithm == "svm_classifier"
+    frame = _coarse_rows(spark).selectExpr("id", "a", "b", "c", "IF(y > 15, 'high', 'low') AS t" if binary else "y AS t")
+    monkeypatch.setattr(supervised, "KERNEL_ROWS", 100)
+    for name in ("LinearSVC", "LinearRegression"):
+        monkeypatch.setattr(supervised, name, None)
+    done = supervised.run_supervised(frame, algorithm, "t", ["id"])
+    found = {r["metric"]: r["value"] for r in done.metrics.collect()}
+    assert found["accuracy"] > 0.9 if binary else found["r2"] > 0.95
+    done.model.save(str(tmp_path / "machine"), spark)
+    loaded = supervised.FittedModel.load(str(tmp_path / "machine"), spark)
+    again = {r[0]: r[1] for r in loaded.predict(frame).select("id", "predicted").collect()}
+    same = (lambda a, b: a == b) if binary else (lambda a, b: abs(a - b) < 1e-4)
+    assert all(same(again[r["id"]], r["predicted"]) for r in done.predictions.collect())
