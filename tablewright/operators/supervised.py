@@ -299,7 +299,7 @@ def fit_model(
                     int(parameters.get("n_estimators", 200)), _depth(parameters, 8), seed=seed,
                 )
             ]
-        elif algorithm == "svm_classifier" and facts.rows >= KERNEL_ROWS and facts.classes == 2:
+        elif algorithm in ("svm_classifier", "svm_regressor") and facts.rows >= KERNEL_ROWS and facts.classes in (0, 2):
             stages = [fit_kernel_machine(prepared, _kernel(facts), facts.rows, facts.mean, facts.deviation, labels is not None)]
         elif algorithm in ("svm_classifier", "svm_regressor"):
             kernel = _kernel(facts)
